@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataspan.llm.common import table
+from strataspan.llm.html import extract
+from strataspan.llm.lines import dedup_lines
+from strataspan.llm.pii import pseudonyms
 from strataspan.llm.secrets import scan_secrets
 from strataspan.llm.sharding import shard_by_bytes
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
@@ -17,7 +25,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op10_secrets": op10_secrets}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, n_spans, spans (kind:start:end:alias by start, comma-joined)."""
+    out = pseudonyms(table(spark, sf_dir, "documents"))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["alias"]))
+    return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), F.array_join(span, ",").alias("spans"))
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text (what is left), n_removed, removed (start:end in the original, comma-joined)."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    span = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return out.select("doc_id", "text", "n_removed", F.array_join(span, ",").alias("removed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_extraction, op3_sharding, op7_pii, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
