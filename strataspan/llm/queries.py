@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspan.llm.common import table
+from strataspan.llm.decontaminate import contamination
 from strataspan.llm.html import extract
+from strataspan.llm.langid import fit, held_out, identify
 from strataspan.llm.lines import dedup_lines
 from strataspan.llm.pii import pseudonyms
 from strataspan.llm.secrets import scan_secrets
@@ -17,6 +19,14 @@ def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_regions, items (ids, ascending), regions (item:start:end:edits by start, comma-joined)."""
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    span = F.transform("regions", lambda s: F.concat_ws(":", *[s[k].cast("string") for k in ("item_id", "start", "end", "edits")]))
+    items = F.array_sort(F.array_distinct(F.transform("regions", lambda s: s["item_id"])))
+    return out.select("doc_id", F.size("regions").cast("long").alias("n_regions"), items.alias("items"), F.array_join(span, ",").alias("regions"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
@@ -25,6 +35,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_spans, spans (kind:start:end:alias by start, comma-joined)."""
     out = pseudonyms(table(spark, sf_dir, "documents"))
@@ -39,7 +55,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extraction, op3_sharding, op7_pii, op9_substring, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op5_language, op7_pii, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
