@@ -10,6 +10,7 @@ from strataspan.llm.decontaminate import contamination
 from strataspan.llm.html import extract
 from strataspan.llm.langid import fit, held_out, identify
 from strataspan.llm.lines import dedup_lines
+from strataspan.llm.order_minhash import near_duplicates
 from strataspan.llm.pii import pseudonyms
 from strataspan.llm.secrets import scan_secrets
 from strataspan.llm.sharding import shard_by_bytes
@@ -41,6 +42,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_spans, spans (kind:start:end:alias by start, comma-joined)."""
     out = pseudonyms(table(spark, sf_dir, "documents"))
@@ -55,7 +60,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op5_language, op7_pii, op9_substring, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op5_language, op6_near_duplicates, op7_pii, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
