@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspan.llm.ann import nearest
 from strataspan.llm.common import table
 from strataspan.llm.decontaminate import contamination
 from strataspan.llm.html import extract
@@ -36,6 +37,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))
@@ -60,7 +65,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op5_language, op6_near_duplicates, op7_pii, op9_substring, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op4_ann, op5_language, op6_near_duplicates, op7_pii, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
