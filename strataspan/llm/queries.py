@@ -12,6 +12,7 @@ from strataspan.llm.html import extract
 from strataspan.llm.langid import fit, held_out, identify
 from strataspan.llm.lines import dedup_lines
 from strataspan.llm.order_minhash import near_duplicates
+from strataspan.llm.pieces import digest, encode
 from strataspan.llm.pii import pseudonyms
 from strataspan.llm.secrets import scan_secrets
 from strataspan.llm.sharding import shard_by_bytes
@@ -58,6 +59,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), F.array_join(span, ",").alias("spans"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(encode(table(spark, sf_dir, "documents")))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what is left), n_removed, removed (start:end in the original, comma-joined)."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -65,7 +70,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op4_ann, op5_language, op6_near_duplicates, op7_pii, op9_substring, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op4_ann, op5_language, op6_near_duplicates, op7_pii, op8_pieces, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

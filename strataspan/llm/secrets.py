@@ -132,7 +132,7 @@ def redact(docs: DataFrame, wide_owners: int = 3, mask: str = "[SECRET]") -> Dat
     with_found = docs.withColumn("__found", find_column(F.col("text")))
     clean = with_found.where(F.size("__found") == 0).select(*columns)
     held = checkpointed(with_found.where(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
-    verdicts = ownership(held.select("source", F.col("__found").alias("found")), wide_owners).where("verdict = 'live'")
+    verdicts = ownership(held.select((F.col("source") if "source" in columns else F.lit(None)).cast("string").alias("source"), F.col("__found").alias("found")), wide_owners).where("verdict = 'live'")
     live = (
         held.select("__row", F.explode("__found").alias("s"))
         .withColumn("secret", F.xxhash64("s.value"))
