@@ -12,7 +12,7 @@ from strataspan.llm.common import checkpointed, slices
 
 #: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link.
 K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: Further rounds that split the buckets in which texts did not all link.
+#: Further rounds that split what did not link with its bucket's leader.
 ROUNDS = 2
 #: Bytes that one vectorised step takes.
 STEP = 1 << 18
@@ -204,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         new = near.join(up, "near", "left").select("node", F.least(F.col("near"), F.coalesce("far", "near")).alias("label"))
         new = checkpointed(new.join(labels.withColumnRenamed("label", "old"), "node"))
-        changed = new.where("label < old").limit(1).count()
+        changed = not new.where("label < old").isEmpty()
         labels = new.select("node", "label")
         if not changed:
             return labels
@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
        doc_id, and only representatives go on, so a text with thousands of copies is sketched into buckets once.
     2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member: one pair a member,
        never all pairs. Texts whose lengths alone forbid a link are not aligned.
-    3. Where texts of one bucket are not all in one component, `rounds` times, the bucket is split by a further sketch and
-       each part gets a leader of its own, again one pair a member.
+    3. `rounds` times, the texts that did not link with their leader are dealt by a further sketch as well, and each part of a bucket
+       gets a leader of its own, again one pair a member.
     4. The links' connected components are the classes.
 
     Input doc_id (integer), text; other columns are ignored. Rows of one doc_id count as one document. Null texts and texts
@@ -265,39 +265,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
     def pairs(found: DataFrame) -> DataFrame:
         return found.where(F.col("rep") != F.col("leader.rep")).where(fits).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
-    tried = pairs(members)
     in_buckets = members.select(F.col("rep").alias("doc_id")).distinct()
     known = checkpointed(texts.join(in_buckets, "doc_id", "left_semi"))
     left, right = known.toDF("a", "text_a"), known.toDF("b", "text_b")
 
     def verified(found: DataFrame) -> DataFrame:
-        return found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long")
+        return checkpointed(found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
 
-    edges = checkpointed(verified(tried))
-    labels = components(edges)
+    tried = pairs(members)
+    edges = verified(tried)
     sketch = classes.select("rep", "sketch")
+    rest, linked = members, edges
     for r in range(1, rounds + 1):
-        of = members.select("s", "i", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = of.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
-        split = (
-            of.join(mixed, "s", "left_semi")
-            .join(sketch, "rep")
-            .withColumn("s2", F.element_at("sketch", F.pmod(F.col("i") + r, F.lit(SKETCHES)) + 1))
-            .select("s", "s2", "rep", "n", "label")
-        )
-        split = checkpointed(split)
-        if split.isEmpty():
-            break
-        part = split.groupBy("s", "s2").agg(F.min(F.struct("rep", "n", "label")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        more = pairs(split.join(part.select("s", "s2", "leader"), ["s", "s2"]).where(F.col("label") != F.col("leader.label")))
-        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
+        apart = (F.col("a") == F.col("leader.rep")) & (F.col("b") == F.col("rep"))
+        rest = rest.where(F.col("rep") != F.col("leader.rep")).join(linked, apart, "left_anti").drop("leader", "s2")
+        rest = rest.join(sketch, "rep").withColumn("s2", F.element_at("sketch", F.pmod(F.col("i") + r, F.lit(SKETCHES)) + 1)).drop("sketch")
+        part = rest.groupBy("s", "s2").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        rest = checkpointed(rest.join(part.select("s", "s2", "leader"), ["s", "s2"]))
+        more = pairs(rest)
+        linked = verified(more.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(more)
-        found = checkpointed(verified(more))
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges)
+        edges = edges.unionByName(linked)
+    labels = components(edges)
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     done = base.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     alone = rows.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
