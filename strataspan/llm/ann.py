@@ -19,8 +19,8 @@ SAMPLE = 16_384
 CELLS, PROBED, PARTS, CODES = 256, 0.55, 16, 64
 #: Candidates by asymmetric distance that each query reranks exactly, from every block.
 SHORTLIST = 200
-#: Rows of a cell are dealt into blocks of about so many, so one task never holds a whole hot cell.
-BLOCK = 8_192
+#: Rows that a task holds at once, as codes: whole cells, or parts of a cell with more than a quarter of that. Groups of them at least.
+BLOCK, GROUPS = 131_072, 8
 
 
 @dataclass(frozen=True)
@@ -40,12 +40,16 @@ class Codebook:
             out[:, j] = ((self.codes[j] ** 2).sum(1) - 2 * rest[:, a:b] @ self.codes[j].T).argmin(1)
         return out
 
-    def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """PARTS x CODES squared distances from the query's residual to each code."""
-        rest = query - self.cells[cell]
-        out = np.full((len(self.parts), max(map(len, self.codes))), np.inf)
+    def bias(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What a stored row adds to any query's distance: 2 c.r + r.r of its centroid c and its coded residual r."""
+        rest = np.concatenate([self.codes[j][code[:, j]] for j in range(len(self.parts))], 1)
+        return 2 * (self.cells[cell] * rest).sum(1) + (rest * rest).sum(1)
+
+    def table(self, query: np.ndarray) -> np.ndarray:
+        """PARTS x CODES products of the query's parts with each code."""
+        out = np.zeros((len(self.parts), max(map(len, self.codes))))
         for j, (a, b) in enumerate(self.parts):
-            out[j, : len(self.codes[j])] = ((self.codes[j] - rest[a:b]) ** 2).sum(1)
+            out[j, : len(self.codes[j])] = self.codes[j] @ query[a:b]
         return out
 
 
@@ -103,13 +107,13 @@ def fit(rows: DataFrame, size: int = SAMPLE) -> tuple[Codebook | None, int]:
     return train(unit(np.stack(list(got[lengths == dim])))), dim
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, probed: float = PROBED, shortlist: int = SHORTLIST, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, probed: float = PROBED, shortlist: int = SHORTLIST, sample: int = SAMPLE, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """The k nearest rows by cosine of each query (rows whose vec_id is divisible by `every`), its own row left out.
 
     Every row is assigned to a coarse cell and stored as PARTS one-byte codes of its residual. A query visits the nearest
-    `probed` of the cells, and further ones until they hold more than k rows (all, if need be), so no query lacks results; rows of a cell lie in blocks of about `block` rows, and each (cell, block) task scores its codes
-    with the query's distance tables and returns its `shortlist` best. The best `shortlist` of each query over all blocks, found by a
-    partial top list a task first, are joined with the original vectors and ranked by their exact cosine in double precision.
+    `probed` of the cells, and further ones until they hold more than k rows (all, if need be), so no query lacks results; cells, or parts of large ones, are dealt into groups of about `block` rows, and in each
+    group a query scores the codes of the cells it visits by its table of products with the codes (the squared distance is that to the
+    centroid, plus the row's bias, less twice the table's sum) and returns its `shortlist` best. The best of all groups are joined with the original vectors and ranked by their exact cosine in double precision.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, as query or candidate; nor do those of
     another dimension than the sample's commonest, or rows with a null vec_id. Rows that repeat a vec_id are one candidate each.
@@ -133,60 +137,47 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, probed: float = PRO
             if not len(x):
                 continue
             cell = b.nearest(x)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in b.encode(x, cell)], pa.binary())], ["vec_id", "cell", "code"])
+            code = b.encode(x, cell)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(b.bias(cell, code))], ["vec_id", "cell", "code", "bias"])
 
-    coded = checkpointed(rows.mapInArrow(assign, "vec_id long, cell int, code binary"))
+    coded = checkpointed(rows.mapInArrow(assign, "vec_id long, cell int, code binary, bias double"))
     sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # a row a cell
-    blocks = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    dealt = coded.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "code")
     held = np.zeros(cells, np.int64)
-    for r in sizes.collect():  # a number a cell
+    for r in sizes.collect():
         held[r["cell"]] = r["n"]
-
-    def visits(batches):
-        b = shared.value
-        for batch in batches:
-            x = unit(np.array(batch.column("v").flatten()).reshape(-1, dim))
-            if not len(x):
-                continue
-            near = b.nearest(x, cells)
-            seen = held[near].cumsum(1) - held[near]
-            visit = (np.arange(cells) < n_probes) | (seen <= k)
-            i = np.nonzero(visit)[0]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), pa.array(near[visit].astype(np.int32)), batch.column("v").take(pa.array(i))], ["query_id", "cell", "v"])
-
+    n_groups = max(groups, -(-int(held.sum()) // block))
+    parts = F.broadcast(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") * 4 / block)).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    dealt = coded.join(parts, "cell").select(F.pmod(F.xxhash64("cell", part), F.lit(n_groups)).cast("int").alias("group"), "cell", "vec_id", "code", "bias")
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = (
-        queries.mapInArrow(visits, "query_id long, cell int, v array<double>")
-        .join(F.broadcast(blocks), "cell")
-        .select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "v")
-    )
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), F.col("vec_id").alias("query_id"), "v")
 
-    def score(key, left, right):
+    def score(left, right):
         b = shared.value
-        ids = left["vec_id"].to_numpy()
-        out_q, out_v, out_d = [], [], []
+        out_q, out_v, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(left) and len(right):
+            ids, cell, bias = left["vec_id"].to_numpy(), left["cell"].to_numpy(), left["bias"].to_numpy()
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1).astype(np.intp)
+            columns = np.arange(codes.shape[1])
             for q, v in zip(right["query_id"], right["v"], strict=True):
-                table = b.tables(unit(np.asarray(v, float)), int(key[0]))
-                d = table[0][codes[:, 0]]
-                for j in range(1, codes.shape[1]):
-                    d = d + table[j][codes[:, j]]
-                d[ids == q] = np.inf
-                some = np.argpartition(d, shortlist)[: shortlist + 1] if len(d) > shortlist + 1 else np.arange(len(d))
-                # of equal distances the smaller ids go on
-                cut = d[some].max() if len(some) else 0
-                best = np.flatnonzero(d <= cut)
-                best = best[np.lexsort((ids[best], d[best]))][:shortlist]
-                best = best[np.isfinite(d[best])]
+                x = unit(np.asarray(v, float))
+                far = ((b.cells - x) ** 2).sum(1)
+                near = far.argsort(kind="stable")
+                seen = held[near].cumsum() - held[near]
+                visit = np.zeros(cells, bool)
+                visit[near[(np.arange(cells) < n_probes) | (seen <= k)]] = True
+                some = np.flatnonzero(visit[cell] & (ids != q))
+                d = far[cell[some]] + bias[some] - 2 * b.table(x)[columns, codes[some]].sum(1)
+                if len(d) > shortlist:  # of equal distances the smaller ids go on
+                    some = some[d <= (cut := np.partition(d, shortlist - 1)[shortlist - 1])]
+                    d = d[d <= cut]
+                best = np.lexsort((ids[some], d))[:shortlist]
                 out_q.append(np.full(len(best), q, np.int64))
-                out_v.append(ids[best])
+                out_v.append(ids[some[best]])
                 out_d.append(d[best])
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        return pd.DataFrame({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "far": cat(out_d, float)})
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "far": np.concatenate(out_d)})
 
-    scored = dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(score, "query_id long, vec_id long, far double")
+    scored = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInPandas(score, "query_id long, vec_id long, far double")
     top = Window.partitionBy("query_id").orderBy("far", "vec_id")
     listed = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= shortlist).select("query_id", "vec_id")
 
