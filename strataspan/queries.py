@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # Fixed parts of the SQL side: the fixtures' definitions.
 INF, NEG = "9223372036854775807", "(-9223372036854775808)"
 EV = f"""
-ev AS (SELECT user_id AS id, epoch_ms(ts) AS t, event_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+ev AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS t, event_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS version FROM events),
 lim AS (SELECT min(t) AS lo, max(t) AS hi FROM ev),
 p AS (SELECT lo, hi, {", ".join(f"lo + (hi - lo) * {n} // 100 AS p{n}" for n in (10, 30, 50, 60, 70, 90))} FROM lim),
@@ -70,8 +70,8 @@ vis0 AS (SELECT v.* REPLACE (CASE WHEN deleted_at > ({pin}) AND e = deleted_at T
                              (retracted AND deleted_at <= ({pin})) AS retracted,
                              CASE WHEN deleted_at > ({pin}) THEN 0 ELSE deleted_at END AS deleted_at)
          FROM v WHERE tx_from <= ({pin})),
-death AS (SELECT a.id, a.version, min(b.deleted_at) AS at, bool_or(b.retracted) AS gone FROM vis0 a JOIN vis0 b ON a.id = b.id AND b.deleted_at > 0 AND b.deleted_at >= a.tx_from GROUP BY 1, 2),
-vis AS (SELECT vis0.* REPLACE (least(e, coalesce(at, {INF})) AS e) FROM vis0 LEFT JOIN death USING (id, version) WHERE NOT coalesce(gone, false))"""
+death AS (SELECT a.id, a.version, min(b.deleted_at) AS died, bool_or(b.retracted) AS gone FROM vis0 a JOIN vis0 b ON a.id = b.id AND b.deleted_at > 0 AND b.deleted_at >= a.tx_from GROUP BY 1, 2),
+vis AS (SELECT vis0.* REPLACE (least(e, coalesce(died, {INF})) AS e) FROM vis0 LEFT JOIN death USING (id, version) WHERE NOT coalesce(gone, false))"""
 
 
 def own_sql(pin: str) -> str:
@@ -604,7 +604,7 @@ def two_hop(spark, sf_dir):
     g = Graph.star(spark, sf_dir, ("PLACED", "CONTAINS"))
     edges = g.rels.versions.withColumn("type", F.lit("ANY"))
     hop = Graph(spark, g.node_versions, edges, now=1, has_voids=False).rels
-    return hop.two_hop(g.node_versions.where((F.col("id") > 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 20)).select("id"), "ANY")
+    return hop.two_hop(g.node_versions.where((F.col("id") >= 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 20)).select("id"), "ANY")
 
 
 @query(f"SELECT 14000000000000 + o_orderkey AS id, 3000000000000 + o_custkey AS seed FROM orders WHERE o_custkey IN (1, 2) AND epoch_ms(o_orderdate) <= {MID_ORDERS}")
@@ -821,7 +821,7 @@ _ONE = "one AS (SELECT 6000000000000 + o_orderkey AS id, epoch_ms(o_orderdate) A
 
 def _orders_valid_from(spark, sf_dir) -> DataFrame:
     orders = fixtures.read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 6 * fixtures.BIG).alias("id"), fixtures._epoch("o_orderdate").alias("_d"))
-    return fixtures.star_nodes(spark, sf_dir).where((F.col("id") > 6 * fixtures.BIG) & (F.col("id") <= 6 * fixtures.BIG + 50)).join(orders, "id").withColumn("s", F.col("_d")).drop("_d")
+    return fixtures.star_nodes(spark, sf_dir).where((F.col("id") >= 6 * fixtures.BIG) & (F.col("id") <= 6 * fixtures.BIG + 50)).join(orders, "id").withColumn("s", F.col("_d")).drop("_d")
 
 
 def _span(nodes: DataFrame, a: int, b: int) -> DataFrame:
@@ -855,7 +855,7 @@ def update_nodes(spark, sf_dir):
 @query("SELECT 'node' AS kind, (SELECT count(*) FROM customer WHERE c_custkey > 10) AS n UNION ALL SELECT 'rel', (SELECT count(*) FROM orders WHERE o_custkey > 10)")
 def delete_cascade(spark, sf_dir):
     g = Graph.star(spark, sf_dir, ("PLACED",))
-    gone = g.node_versions.where((F.col("id") > 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 10)).select("id")
+    gone = g.node_versions.where((F.col("id") >= 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 10)).select("id")
     g.write(writes.delete, gone)
     count = lambda d, kind: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(g.nodes.by_name("Customer"), "node").unionByName(count(g.rels.all(), "rel"))
@@ -865,14 +865,14 @@ def delete_cascade(spark, sf_dir):
 
 
 @query(
-    f"WITH {chain_sql('c')}, r AS (SELECT tx_from AS at, id, version, 1 AS tag FROM v UNION ALL SELECT deleted_at, id, version, 3 FROM v WHERE deleted_at > 0), l AS (SELECT row_number() OVER (ORDER BY at, id, version, tag) AS lsn, tag, id, version, at FROM r) SELECT * FROM l WHERE lsn > 100 ORDER BY lsn LIMIT 500"
+    f"WITH {chain_sql('c')}, r AS (SELECT tx_from AS \"at\", id, version, 1 AS tag FROM v UNION ALL SELECT deleted_at, id, version, 3 FROM v WHERE deleted_at > 0), l AS (SELECT row_number() OVER (ORDER BY \"at\", id, version, tag) AS lsn, tag, id, version, \"at\" FROM r) SELECT * FROM l WHERE lsn > 100 ORDER BY lsn LIMIT 500"
 )
 def change_feed(spark, sf_dir):
     g, _ = _chain(spark, sf_dir, "c")
     return changes.feed(changes.change_log(g.node_versions), 100, 500)
 
 
-@query(f"WITH {chain_sql('c')}, r AS (SELECT tx_from AS at, id, version, CASE WHEN version = 0 THEN 'create' ELSE 'update' END AS type FROM v UNION ALL SELECT deleted_at, id, version, 'delete' FROM v WHERE deleted_at > 0) SELECT type, CASE type WHEN 'delete' THEN 0 WHEN 'create' THEN 1 ELSE 2 END AS priority, count(*) AS n FROM r GROUP BY 1, 2")
+@query(f"WITH {chain_sql('c')}, r AS (SELECT tx_from AS x, id, version, CASE WHEN version = 0 THEN 'create' ELSE 'update' END AS type FROM v UNION ALL SELECT deleted_at, id, version, 'delete' FROM v WHERE deleted_at > 0) SELECT type, CASE type WHEN 'delete' THEN 0 WHEN 'create' THEN 1 ELSE 2 END AS priority, count(*) AS n FROM r GROUP BY 1, 2")
 def event_counts(spark, sf_dir):
     g, _ = _chain(spark, sf_dir, "c")
     return changes.events(changes.change_log(g.node_versions)).groupBy("type", "priority").agg(F.count(F.lit(1)).alias("n"))
@@ -906,9 +906,9 @@ def purge_expired(spark, sf_dir):
     return admin.purge_expired(g.node_versions, g.rel_versions, "User", p["hi"] + 60_000)[0].select("id", "version")
 
 
-@query("SELECT 'node' AS kind, 10 AS rows, 10 AS entities UNION ALL SELECT 'rel', count(*), count(*) FROM orders WHERE o_custkey <= 10")
+@query("SELECT 'node' AS kind, count(*) AS rows, count(*) AS entities FROM customer WHERE c_custkey <= 10 UNION ALL SELECT 'rel', count(*), count(*) FROM orders WHERE o_custkey <= 10")
 def exact_erase(spark, sf_dir):
     g = Graph.star(spark, sf_dir, ("PLACED",))
-    ids = g.node_versions.where((F.col("id") > 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 10)).select("id")
+    ids = g.node_versions.where((F.col("id") >= 3 * fixtures.BIG) & (F.col("id") <= 3 * fixtures.BIG + 10)).select("id")
     return admin.erasure(g.node_versions, g.rel_versions, ids)[2]
 
