@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,7 +142,10 @@ def key_of(value: Any) -> str | None:
 
 
 def _java_double(value: float) -> str:
-    """The rendering that Spark gives a double, which keys of fractions have."""
+    """The rendering that Spark gives a double, which keys of fractions have: the JVM's own, where there is one."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        return context._jvm.java.lang.Double.toString(value)
     if 1e-3 <= abs(value) < 1e7:
         return repr(value)
     mantissa, _, exponent = f"{value!r}".partition("e")

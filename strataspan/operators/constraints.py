@@ -34,8 +34,8 @@ def forever_violations(nodes: DataFrame, label: str, key: str) -> DataFrame:
 def outside_endpoints(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """id, side: current relationships that hold where an end of theirs is not covered by one effective segment after another."""
     segs = K.segments(nodes)
-    new = F.coalesce(F.col("from") > F.lag("to").over(K.CHAIN.orderBy("from")), F.lit(True))
-    runs = segs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(K.CHAIN.orderBy("from")))
+    new = F.coalesce(F.col("from") > F.lag("to").over(K.chain().orderBy("from")), F.lit(True))
+    runs = segs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(K.chain().orderBy("from")))
     spans = runs.groupBy("id", "_run").agg(F.min("from").alias("a"), F.max("to").alias("b"))
     current = rels.where("is_current")
     out = []

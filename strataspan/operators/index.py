@@ -76,7 +76,7 @@ def envelopes(v: DataFrame) -> DataFrame:
 
 def pruned(v: DataFrame, a: int, b: int) -> DataFrame:
     """v without the chains whose envelope does not meet [a, b): never changes what resolves there."""
-    hull = v.withColumn("_from", F.min("s").over(K.CHAIN)).withColumn("_to", F.max("e").over(K.CHAIN))
+    hull = v.withColumn("_from", F.min("s").over(K.chain())).withColumn("_to", F.max("e").over(K.chain()))
     return hull.where((F.col("_from") < b) & ((F.col("_to") == V.INF) | (F.col("_to") > a))).drop("_from", "_to")
 
 

@@ -92,7 +92,7 @@ class Temporal:
     def effective_from(self, names: list[str], pin: int, valid_from: int, kind: str = "node") -> DataFrame:
         """All segments of the names, of the entities of which one such segment ends at or after valid_from."""
         segs = self.effective(pin, kind, names)
-        return segs.withColumn("_late", F.max(F.col("to") >= valid_from).over(K.CHAIN)).where("_late").drop("_late")
+        return segs.withColumn("_late", F.max(F.col("to") >= valid_from).over(K.chain())).where("_late").drop("_late")
 
     def effective_in(self, names: list[str], pin: int, window: list[tuple[int, int]], kind: str = "node") -> DataFrame:
         return self.effective(pin, kind, names).where(meets_window(window))

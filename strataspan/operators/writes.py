@@ -145,15 +145,15 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
     if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
         raise InvalidTimeRange("an interval must not be empty")
     wide = changes.select("id", F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"), *(["patch"] if "patch" in changes.columns else []))
-    chain = v.join(wide.select("id"), "id", "left_semi")
+    touched = v.join(wide.select("id"), "id", "left_semi")
     # the pre-correction chain without lives' ends: deletes are taken back
-    plain = chain.withColumns({"deleted_at": F.lit(0).cast("bigint"), "retracted": F.lit(False)})
+    plain = touched.withColumns({"deleted_at": F.lit(0).cast("bigint"), "retracted": F.lit(False)})
     won = K.segments(plain, 0, keep_void=True).join(wide, "id")
     inside = won.where(K.meets(F.col("_a"), F.col("_b"), "from", "to")).withColumns({"from": F.greatest("from", "_a"), "to": F.least("to", "_b")})
-    template = chain.groupBy("id").agg(F.max_by(F.struct(*v.columns), F.struct("version")).alias("_t")).join(wide, "id")
+    template = touched.groupBy("id").agg(F.max_by(F.struct(*v.columns), F.struct("version")).alias("_t")).join(wide, "id")
     names = [c for c in v.columns if c != "id"]
     held = inside.select("id", "from", "to", F.struct(*names).alias("row"), F.lit(False).alias("gap"), *wide.columns[1:])
-    order = K.CHAIN.orderBy("from")
+    order = K.chain().orderBy("from")
     before = held.select("id", "_a", "_b", F.coalesce(F.lag("to").over(order), F.col("_a")).alias("x"), F.col("from").alias("y"))
     after = template.join(held.groupBy("id").agg(F.max("to").alias("_last")), "id", "left").select("id", "_a", "_b", F.coalesce("_last", "_a").alias("x"), F.col("_b").alias("y"))
     gaps = before.unionByName(after).where("x < y").join(template.drop("_a", "_b"), "id").select("id", F.col("x").alias("from"), F.col("y").alias("to"), F.struct(*[F.col("_t")[c].alias(c) for c in names]).alias("row"), F.lit(True).alias("gap"), *wide.columns[1:])
@@ -178,13 +178,13 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
         "props": F.when(F.col("void"), F.lit(None)).when(F.col("patch").isNotNull(), patched(F.col("row")["props"], F.col("patch"))).otherwise(F.col("row")["props"]),
     }
     fresh = rows.select("id", *[values.get(c, F.col("row")[c]).alias(c) for c in names])
-    last = chain.groupBy("id").agg(F.max("version").alias("_last"))
+    last = touched.groupBy("id").agg(F.max("version").alias("_last"))
     # the newest open belief that is not void takes the slot; among the new rows it comes last
     slot = F.col("e") == V.INF
-    by = K.CHAIN.orderBy((slot & ~F.col("void")).cast("int"), "s")
+    by = K.chain().orderBy((slot & ~F.col("void")).cast("int"), "s")
     fresh = fresh.join(last, "id").withColumn("version", (F.col("_last") + F.row_number().over(by)).cast("int")).drop("_last")
-    takes = F.max(slot & ~F.col("void")).over(K.CHAIN)
-    top = F.max("version").over(K.CHAIN)
+    takes = F.max(slot & ~F.col("void")).over(K.chain())
+    top = F.max("version").over(K.chain())
     fresh = fresh.withColumn("is_current", takes & (F.col("version") == top))
     moved = fresh.where("is_current").select("id", F.lit(True).alias("_moved"))
     rest = v.join(moved, "id", "left").withColumn("is_current", F.col("is_current") & F.col("_moved").isNull()).drop("_moved")

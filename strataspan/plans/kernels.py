@@ -7,13 +7,18 @@ carries. All steps work by id, so a plan shuffles once, on id; the windows and t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strataspan.functions.allen import allen
 from strataspan.functions.values import INF, NEG
 
-CHAIN = Window.partitionBy("id")
+
+def chain() -> WindowSpec:
+    """The window of one entity."""
+    return Window.partitionBy("id")
+
+
 _TEMP = ("_life", "_cascade", "_rank")
 
 
@@ -45,7 +50,7 @@ def visible(v: DataFrame, pin: int) -> DataFrame:
 def lives(v: DataFrame) -> DataFrame:
     """Cut every row at the first delete of its chain at or after its recording, drop rows of a life that a retraction ended, and
     number the lives (`_life`). A chain's deletes are few; only they are gathered."""
-    deaths = F.collect_list(F.when(F.col("deleted_at") > 0, F.struct("deleted_at", "retracted"))).over(CHAIN)
+    deaths = F.collect_list(F.when(F.col("deleted_at") > 0, F.struct("deleted_at", "retracted"))).over(chain())
     first = F.array_min(F.filter("_deaths", lambda d: d["deleted_at"] >= F.col("tx_from")))
     return (
         v.withColumn("_deaths", deaths)
@@ -59,9 +64,9 @@ def lives(v: DataFrame) -> DataFrame:
 
 def classified(v: DataFrame) -> DataFrame:
     """`_cascade`: whether in write order a start falls, or of two rows with one start the later ends earlier."""
-    order = CHAIN.orderBy("_life", "version")
+    order = chain().orderBy("_life", "version")
     fall = (F.col("s") < F.lag("s").over(order)) | ((F.col("s") == F.lag("s").over(order)) & (F.col("e") < F.lag("e").over(order)))
-    return v.withColumn("_fall", F.coalesce(fall, F.lit(False))).withColumn("_cascade", F.max("_fall").over(CHAIN)).drop("_fall")
+    return v.withColumn("_fall", F.coalesce(fall, F.lit(False))).withColumn("_cascade", F.max("_fall").over(chain())).drop("_fall")
 
 
 def _replacing(v: DataFrame) -> DataFrame:
@@ -81,10 +86,10 @@ def _capped(v: DataFrame) -> DataFrame:
     replacing row with an earlier start are the chain's replacing rows gathered and searched.
     """
     marked = _replacing(v)
-    newer = CHAIN.orderBy("tx_from", "version").rowsBetween(1, Window.unboundedFollowing)
+    newer = chain().orderBy("tx_from", "version").rowsBetween(1, Window.unboundedFollowing)
     marked = marked.withColumn("_least", F.min(F.when(F.col("_new") & F.col("_cascade"), F.col("s"))).over(newer))
-    marked = marked.withColumn("_hard", F.coalesce(F.max(F.col("_least") < F.col("s")).over(CHAIN), F.lit(False)))
-    all_ = F.collect_list(F.when(F.col("_hard") & F.col("_new"), F.struct("tx_from", "version", "s"))).over(CHAIN)
+    marked = marked.withColumn("_hard", F.coalesce(F.max(F.col("_least") < F.col("s")).over(chain()), F.lit(False)))
+    all_ = F.collect_list(F.when(F.col("_hard") & F.col("_new"), F.struct("tx_from", "version", "s"))).over(chain())
     later = F.filter("_all", lambda q: ((q["tx_from"] > F.col("tx_from")) | ((q["tx_from"] == F.col("tx_from")) & (q["version"] > F.col("version")))) & (q["s"] >= F.col("s")))
     cap = F.when(F.col("_hard"), F.array_min(F.transform(later, lambda q: q["s"]))).otherwise(F.col("_least"))
     return marked.withColumn("_all", all_).withColumn("_cap", cap).drop("_new", "_least", "_hard", "_all")
@@ -95,13 +100,13 @@ def bounded(v: DataFrame, pin: int = 0) -> DataFrame:
 
     Tiling chains end open rows where the next start is; in cascade chains rows keep their own ends, cut by newer replacing rows.
     """
-    chain = _capped(classified(lives(visible(v, pin))))
-    following = F.lead("s").over(CHAIN.orderBy("s", "version"))
+    rows = _capped(classified(lives(visible(v, pin))))
+    following = F.lead("s").over(chain().orderBy("s", "version"))
     own = F.least("e", F.coalesce("_cap", F.lit(INF)))
     tile = F.when(F.col("e") == INF, F.coalesce("_next", F.lit(INF))).otherwise(F.col("e"))
     first = F.when(F.col("_cascade"), F.col("tx_from")).otherwise(F.col("s"))
     return (
-        chain.withColumn("_next", following)
+        rows.withColumn("_next", following)
         .withColumn("e", F.when(F.col("_cascade"), own).otherwise(tile))
         .withColumn("_rank", F.struct(first.alias("a"), F.col("version").cast("bigint").alias("b")))
         .drop("_cap", "_next")
@@ -110,7 +115,7 @@ def bounded(v: DataFrame, pin: int = 0) -> DataFrame:
 
 def positional(v: DataFrame) -> DataFrame:
     """Open rows end where the next start (by start, version) is."""
-    following = F.lead("s").over(CHAIN.orderBy("s", "version"))
+    following = F.lead("s").over(chain().orderBy("s", "version"))
     return v.withColumn("e", F.when(F.col("e") == INF, F.coalesce(following, F.lit(INF))).otherwise(F.col("e")))
 
 
@@ -142,9 +147,9 @@ def segments(v: DataFrame, pin: int = 0, keep_void: bool = False) -> DataFrame:
     shuffle, no join.
     """
     rows = bounded(v, pin).where(F.col("s") < F.col("e"))
-    order = CHAIN.orderBy("s", "e", "version")
-    rows = rows.withColumn("_over", F.coalesce(F.col("e") > F.lead("s").over(order), F.lit(False))).withColumn("_mixed", F.max("_over").over(CHAIN))
-    bound = lambda c: F.collect_set(F.when(F.col("_mixed"), F.col(c))).over(CHAIN)
+    order = chain().orderBy("s", "e", "version")
+    rows = rows.withColumn("_over", F.coalesce(F.col("e") > F.lead("s").over(order), F.lit(False))).withColumn("_mixed", F.max("_over").over(chain()))
+    bound = lambda c: F.collect_set(F.when(F.col("_mixed"), F.col(c))).over(chain())
     rows = rows.withColumn("_cuts", F.array_sort(F.array_union(bound("s"), bound("e"))))
     inside = F.filter("_cuts", lambda c: (c >= F.col("s")) & (c <= F.col("e")))
     pieces = F.when(F.col("_mixed"), F.zip_with(inside, F.slice(inside, 2, 1 << 30), lambda a, b: F.struct(a.alias("from"), b.alias("to"))))
@@ -152,7 +157,7 @@ def segments(v: DataFrame, pin: int = 0, keep_void: bool = False) -> DataFrame:
     rows = rows.withColumn("_p", F.explode(F.coalesce(pieces, whole))).withColumns({"from": F.col("_p")["from"], "to": F.col("_p")["to"]}).where(F.col("to").isNotNull())
     best = F.max("_rank").over(Window.partitionBy("id", "from"))
     won = rows.withColumn("_best", best).where(F.col("_rank") == F.col("_best"))
-    by_time = CHAIN.orderBy("from")
+    by_time = chain().orderBy("from")
     new = (F.lag("_rank").over(by_time) != F.col("_rank")) | (F.lag("to").over(by_time) != F.col("from"))
     runs = won.withColumn("_first", F.coalesce(new, F.lit(True))).withColumn("_run", F.sum(F.col("_first").cast("int")).over(by_time))
     runs = runs.withColumn("to", F.max("to").over(Window.partitionBy("id", "_run"))).where("_first")
@@ -221,7 +226,7 @@ def as_of(v: DataFrame, pin: int) -> DataFrame:
     live = F.col("is_current") & seen & (F.col("tx_to") == 0)
     ended = (F.col("tx_to") != 0) & (F.col("tx_to") >= F.col("tx_from"))
     end = F.when((F.col("deleted_at") > pin) & (F.col("e") == F.col("deleted_at")) & ~F.col("kept"), F.lit(INF)).otherwise(F.col("e"))
-    over = lambda c: F.max(c).over(CHAIN)
+    over = lambda c: F.max(c).over(chain())
     rows = (
         v.where(~F.col("void"))
         .withColumn("_cur", over(F.when(live, F.struct("version", "tx_from"))))
