@@ -36,3 +36,14 @@ def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, i
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+#: Rows of one Arrow batch between the JVM and Python: texts are long, and each task holds a batch on either side, twice.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session at BATCH_ROWS rows at most, so that tasks hold a few MB of text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import slices
+from strataspan.llm.common import slices, small_batches
 
 #: Characters of a q-gram, and edits allowed for each character of an item.
 Q, EDITS = 10, 0.08
@@ -200,6 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, k
     or empty texts match nothing; so do items that are null or shorter than Q; repeated items match each. Repeated rows
     repeat. Returns `keep`, doc_id, text and, as `name`, regions (item_id, start, end in code points, edits; by start).
     """
+    small_batches(docs.sparkSession)
     columns = [*dict.fromkeys([*keep, "doc_id", "text"])]
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
     broadcast = docs.sparkSession.sparkContext.broadcast(index(items, edits))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import slices
+from strataspan.llm.common import slices, small_batches
 
 #: Subwords are the n-grams of these many UTF-8 bytes of the lower-cased text, spaces included.
 ORDERS = (2, 3, 4)
@@ -111,10 +111,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             back = p @ weights.T
             weights -= rate * mean.T @ p
             bias -= rate * p.mean(0) * 0.1
+            # a text's step is spread over its subwords by their shares, so it is short; its length is bounded all the same
+            back *= np.minimum(1, 1 / np.maximum(np.linalg.norm(back, axis=1, keepdims=True), 1e-6))
             for i, g in zip(some, back, strict=True):
                 emb[bags[i][0]] -= rate * np.outer(bags[i][1], g) * 20
+            weights *= min(1, 30 / max(float(np.linalg.norm(weights)), 1e-6))
         fit = rng.permutation(fit)
     scores = emb @ weights
+    seen = np.zeros(BUCKETS, bool)
+    for i in order[:cut]:
+        seen[bags[i][0]] = True
+    scores[~seen] = 0  # subwords that no text had say nothing, so an unknown language is left unsure
     held = held if len(held) else fit
     logits = np.stack([bags[i][1] @ scores[bags[i][0]] + bias for i in held])
 
@@ -128,8 +135,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     temperature = float(min(np.geomspace(0.01, 20, 80), key=lambda t: -(target * np.log(probs(t) + 1e-12)).sum(1).mean()))
     p = probs(temperature)
     sure = p.max(1)[p.argmax(1) == y[held]]
-    # a prediction is rejected if it is less sure than nearly all right ones, and less sure than not
-    reject = min(0.5, float(np.quantile(sure, MISS))) if len(sure) else 0.0
+    # a prediction is rejected if it is less sure than nearly all right ones, and nearer to a guess than to certainty
+    even = 1 / len(names)
+    reject = min((1 + even) / 2, float(np.quantile(sure, MISS))) if len(sure) else 0.0
     return Model(names, scores.astype(np.float32), bias.astype(np.float64), temperature, reject)
 
 
@@ -165,6 +173,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), prefix:
     with `prefix` before their names, lang_pred, score (calibrated probability), rejected.
     """
     columns = [*dict.fromkeys([*keep, "doc_id", "text"])]
+    small_batches(docs.sparkSession)
     names = [prefix + x for x in ("lang_pred", "score", "rejected")]
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x langs floats, whatever the input
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspan.llm.common import small_batches
+
 #: Units with fewer words are too common by chance to count as repeats.
 MIN_WORDS = 6
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -64,6 +66,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks first. Returns doc_id, text (what is left), removed (array of start, end: offsets in the original
     text, ascending), n_removed.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
     unit = keyed.where(F.col("text").isNotNull() & (F.length("text") > 0)).mapInArrow(_explode(min_words), UNIT)
     first = (

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import checkpointed, slices
+from strataspan.llm.common import checkpointed, slices, small_batches
 
 #: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link.
 K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
 
     Returns doc_id, class_id (the least doc_id of the class), kept (whether the row has that id).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     texts = rows.where(F.col("text").isNotNull())

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import checkpointed, slices
+from strataspan.llm.common import checkpointed, slices, small_batches
 
 #: The public vocabulary file this was built with; any BPE model whose pieces hold the space mark only in front will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -255,6 +255,7 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
     Input doc_id (integer), text; other columns are ignored. Null or empty texts give one chunk without ids. Repeated rows are encoded
     each (`row` tells them apart). Returns doc_id, row, chunk (from 0), ids, whole (decoding gives the chunk's text).
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     giant = F.coalesce(F.length("text") > size, F.lit(False))
 

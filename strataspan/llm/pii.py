@@ -10,6 +10,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strataspan.llm.common import small_batches
+
 ROUNDS = 8
 #: Dates are permuted within these two centuries.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -187,5 +189,6 @@ def pseudonyms(docs: DataFrame, key: bytes = b"strataspan pseudonyms") -> DataFr
                 spans.append([dict(zip(("start", "end", "kind", "alias"), s, strict=True)) for s in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, SPAN)], ["doc_id", "text", "spans"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<start:int,end:int,kind:string,alias:string>>")
