@@ -380,4 +380,4 @@ def test_ownership_separates_copied_from_live(spark):
 
 
 def test_slices():
-    assert list(slices([], 5)) == [] and list(slices([9, 1, 1, 9, 0], 5)) == [(0, 1), (1, 3), (3, 5)]
+    assert list(slices([], 5)) == [] and list(slices([9, 1, 1, 9, 0], 5)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
