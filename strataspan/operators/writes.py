@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataspan.errors import GraphError, InvalidTimeRange, NothingToExcise
 from strataspan.functions import values as V
 from strataspan.plans import kernels as K
+from strataspan.plans.lineage import checkpointed
 from strataspan.sources.fixtures import versioned
 
 
@@ -145,10 +146,11 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
     if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
         raise InvalidTimeRange("an interval must not be empty")
     wide = changes.select("id", F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"), *(["patch"] if "patch" in changes.columns else []))
-    touched = v.join(wide.select("id"), "id", "left_semi")
+    # only the chains that are corrected, materialised as every step below reads them
+    touched = checkpointed(v.join(wide.select("id"), "id", "left_semi"))
     # the pre-correction chain without lives' ends: deletes are taken back
     plain = touched.withColumns({"deleted_at": F.lit(0).cast("bigint"), "retracted": F.lit(False)})
-    won = K.segments(plain, 0, keep_void=True).join(wide, "id")
+    won = checkpointed(K.segments(plain, 0, keep_void=True).join(wide, "id"))
     inside = won.where(K.meets(F.col("_a"), F.col("_b"), "from", "to")).withColumns({"from": F.greatest("from", "_a"), "to": F.least("to", "_b")})
     template = touched.groupBy("id").agg(F.max_by(F.struct(*v.columns), F.struct("version")).alias("_t")).join(wide, "id")
     names = [c for c in v.columns if c != "id"]
@@ -186,6 +188,7 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
     takes = F.max(slot & ~F.col("void")).over(K.chain())
     top = F.max("version").over(K.chain())
     fresh = fresh.withColumn("is_current", takes & (F.col("version") == top))
+    fresh = checkpointed(fresh)
     moved = fresh.where("is_current").select("id", F.lit(True).alias("_moved"))
     rest = v.join(moved, "id", "left").withColumn("is_current", F.col("is_current") & F.col("_moved").isNull()).drop("_moved")
     return rest.unionByName(fresh.select(*v.columns))

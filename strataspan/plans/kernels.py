@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strataspan.functions.allen import allen
 from strataspan.functions.values import INF, NEG
+from strataspan.plans.lineage import checkpointed
 
 
 def chain() -> WindowSpec:
@@ -252,27 +253,31 @@ def as_of(v: DataFrame, pin: int) -> DataFrame:
 def count_timeline(segs: DataFrame) -> DataFrame:
     """from, to, n: maximal stretches of valid time over which the same number of segments holds; stretches without any are left out.
 
-    Starts and ends are first added up by instant, so the ordered pass sees distinct instants only.
+    Starts and ends are first added up by instant, so what is ordered are distinct instants; those fall into ranges that are summed up
+    apart, and the ranges' totals are few.
     """
-    deltas = segs.select(F.col("from").alias("at"), F.lit(1).alias("d")).unionByName(segs.where(F.col("to") != INF).select(F.col("to").alias("at"), F.lit(-1).alias("d")))
-    steps = deltas.groupBy("at").agg(F.sum("d").alias("d")).where("d != 0")
-    return running(steps, "at", "d").select(F.col("at").alias("from"), F.coalesce(F.lead("at").over(Window.orderBy("at")), F.lit(INF)).alias("to"), F.col("total").alias("n")).where("n != 0")
+    bounds = F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("d")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("d")))
+    deltas = segs.select(F.explode(bounds).alias("x")).select("x.at", "x.d").where(F.col("at") != INF)
+    steps = running(checkpointed(deltas.groupBy("at").agg(F.sum("d").alias("d")).where("d != 0")), "at", "d")
+    return steps.select(F.col("at").alias("from"), F.coalesce("next", F.lit(INF)).alias("to"), F.col("total").alias("n")).where("n != 0")
 
 
 def running(df: DataFrame, order: str, value: str, ranges: int = 256) -> DataFrame:
-    """df with `total`: the running sum of `value` by `order` (unique instants), without one task for all rows.
+    """df with `total`, the running sum of `value` by `order` (unique), and `next`, the following `order`, without one task for all rows.
 
-    Instants fall into `ranges` equal ranges of their span; the ranges' totals (at most `ranges` rows) are summed up and broadcast.
+    Rows fall into `ranges` equal ranges of their span; the ranges' totals (at most that many rows) are summed up and broadcast. df
+    is read three times, so it should be cheap to read.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first() or (None, None)
+    lo, hi = df.where(F.col(order) > NEG // 2).agg(F.min(order), F.max(order)).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, (hi - lo) // ranges + 1)
-    # starts without bound are a range of their own
-    low = max(lo, NEG // 2)
-    width = max(1, (hi - low) // ranges + 1)
-    part = F.when(F.col(order) < low, F.lit(-1)).otherwise(((F.col(order) - low) / width).cast("int"))
+    width = (hi - lo) // ranges + 1
+    # what begins at minus infinity is a range of its own
+    part = F.when(F.col(order) < lo, F.lit(-1)).otherwise(F.expr(f"({order} - {lo}) div {width}").cast("int"))
     rows = df.withColumn("_part", part)
-    totals = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order))
-    return rows.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("total", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+    by_part = Window.partitionBy(F.lit(0)).orderBy("_part")
+    totals = rows.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(order).alias("_low"))
+    edges = totals.select("_part", F.coalesce(F.sum("_sum").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_low").over(by_part).alias("_after"))
+    inside = Window.partitionBy("_part").orderBy(order)
+    summed = rows.withColumn("_inside", F.sum(value).over(inside)).withColumn("_next", F.lead(order).over(inside))
+    out = summed.join(F.broadcast(edges), "_part").withColumn("total", F.col("_inside") + F.col("_before")).withColumn("next", F.coalesce("_next", "_after"))
+    return out.drop("_part", "_inside", "_before", "_next", "_after")

@@ -75,18 +75,24 @@ vis AS (SELECT vis0.* REPLACE (least(e, coalesce(died, {INF})) AS e) FROM vis0 L
 
 
 def own_sql(pin: str) -> str:
-    """own: rows with the bounds by which points are resolved, newest belief first: the rule of newer replacing rows, for all chains."""
+    """own: rows with the bounds by which points are resolved, and their rank r1, r2. A chain whose starts never fall back tiles: an open
+    row ends at the next start, and the highest position wins. Otherwise newer replacing rows end older beliefs, and the newest wins."""
     return f"""{visible_sql(pin)},
 rep AS (SELECT DISTINCT q.id, q.s, q.tx_from, q.version FROM vis q JOIN vis r ON q.id = r.id AND r.tx_to > r.tx_from AND r.deleted_at = 0 AND q.tx_from = r.tx_to AND q.version > r.version),
 cap AS (SELECT a.id, a.version, min(q.s) AS cap FROM vis a JOIN rep q ON a.id = q.id AND q.s >= a.s AND (q.tx_from > a.tx_from OR (q.tx_from = a.tx_from AND q.version > a.version)) GROUP BY 1, 2),
-own AS (SELECT vis.* REPLACE (least(e, coalesce(cap, {INF})) AS e) FROM vis LEFT JOIN cap USING (id, version))"""
+falls AS (SELECT id, coalesce(s < lag(s) OVER w OR (s = lag(s) OVER w AND e < lag(e) OVER w), false) AS fall FROM vis WINDOW w AS (PARTITION BY id ORDER BY version)),
+kind AS (SELECT id, bool_or(fall) AS cascade FROM falls GROUP BY id),
+nexts AS (SELECT id, version, lead(s) OVER (PARTITION BY id ORDER BY s, version) AS next FROM vis),
+own AS (SELECT vis.* REPLACE (CASE WHEN cascade THEN least(e, coalesce(cap, {INF})) WHEN e = {INF} THEN coalesce(next, {INF}) ELSE e END AS e),
+               CASE WHEN cascade THEN tx_from ELSE s END AS r1, version AS r2
+        FROM vis LEFT JOIN cap USING (id, version) JOIN kind USING (id) JOIN nexts USING (id, version))"""
 
 
 def eff_sql(pin: str) -> str:
     """eff: effective segments (f, u) with their rows, void ones included."""
     return f"""{own_sql(pin)},
 cut AS (SELECT id, x AS f, lead(x) OVER (PARTITION BY id ORDER BY x) AS u FROM (SELECT id, s AS x FROM own WHERE s < e UNION SELECT id, e FROM own WHERE s < e)),
-piece AS (SELECT c.id, c.f, c.u, arg_max(o.version, (o.tx_from, o.version)) AS version FROM cut c JOIN own o ON o.id = c.id AND o.s <= c.f AND o.e >= c.u AND o.s < o.e WHERE c.u IS NOT NULL GROUP BY 1, 2, 3),
+piece AS (SELECT c.id, c.f, c.u, arg_max(o.version, (o.r1, o.r2)) AS version FROM cut c JOIN own o ON o.id = c.id AND o.s <= c.f AND o.e >= c.u AND o.s < o.e WHERE c.u IS NOT NULL GROUP BY 1, 2, 3),
 mark AS (SELECT *, CASE WHEN lag(version) OVER w = version AND lag(u) OVER w = f THEN 0 ELSE 1 END AS new FROM piece WINDOW w AS (PARTITION BY id ORDER BY f)),
 run AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY f) AS g FROM mark),
 eff AS (SELECT r.id, min(f) AS f, max(u) AS u, any_value(r.version) AS version FROM run r GROUP BY r.id, g)"""
@@ -95,7 +101,7 @@ eff AS (SELECT r.id, min(f) AS f, max(u) AS u, any_value(r.version) AS version F
 def at_sql(t: str, pin: str) -> str:
     """won: the row of each entity that is valid at t as recorded at the pin."""
     return f"""{own_sql(pin)},
-won AS (SELECT * FROM (SELECT own.*, row_number() OVER (PARTITION BY id ORDER BY tx_from DESC, version DESC) AS rn FROM own WHERE s <= ({t}) AND e > ({t}) AND s < e) WHERE rn = 1 AND NOT void)"""
+won AS (SELECT * FROM (SELECT own.*, row_number() OVER (PARTITION BY id ORDER BY r1 DESC, r2 DESC) AS rn FROM own WHERE s <= ({t}) AND e > ({t}) AND s < e) WHERE rn = 1 AND NOT void)"""
 
 
 P = lambda n: f"SELECT {n} FROM p"

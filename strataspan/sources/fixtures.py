@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspan.functions import values as V
+from strataspan.plans.lineage import checkpointed
 
 DAY = 86_400_000
 #: Node codes and relationship codes of the star-schema graph; an id is code * 10^12 + key.
@@ -70,14 +71,16 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def numbered(df: DataFrame, by: list[str], name: str = "rn", ranges: int = 200) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
     """df with `name`: the row's number, from 1, in the order of `by`: range partitions, sorted alone, plus the rows before each.
 
-    Equal rows get their numbers in any order. The counts of the partitions are `ranges` rows at most.
+    Equal rows get their numbers in any order. The sorted partitions are materialised, as both their counts (`ranges` rows at most)
+    and the rows are read, and both must see the same partitions.
     """
-    parts = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = checkpointed(df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    before = counts.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = counts.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_first", "_before")
 
 
@@ -102,7 +105,7 @@ def star_rels(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ("IN_RE
     if "PLACED" in types:
         out.append(rel(orders, "PLACED", "PLACED", F.col("o_orderkey"), node_id("Customer", "o_custkey"), node_id("Order", "o_orderkey"), s=_epoch("o_orderdate")))
     if "CONTAINS" in types:
-        lines = numbered(read(spark, sf_dir, "lineitem"), LINE_ORDER).join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = numbered(read(spark, sf_dir, "lineitem").select(*LINE_ORDER), LINE_ORDER).join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         values = V.props(quantity=V.real(F.col("l_quantity")), price=V.real(F.col("l_extendedprice")), flag=V.text(F.col("l_returnflag")))
         out.append(rel(lines, "CONTAINS", "CONTAINS", F.col("rn"), node_id("Order", "l_orderkey"), node_id("Part", "l_partkey"), values, _epoch("o_orderdate")))
     if "SUPPLIED_BY" in types:
