@@ -1,9 +1,10 @@
-"""Substring dedup by hashing lines and the sentences in them."""
+"""Substring dedup by hashing lines, the sentences in them, and content-defined parts of long ones."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,27 +15,49 @@ from strataspan.llm.common import small_batches
 
 #: Units with fewer words are too common by chance to count as repeats.
 MIN_WORDS = 6
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+#: Units with more words than this are cut after words whose checksum is divisible by PART.
+LONG, PART = 16, 6
+_CUT = re.compile(r"(?<=[.!?])([^\w\s]*)\s+|\s*\n\s*")
+_WORD = re.compile(r"\S+")
 UNIT = "key long, at int, until int, digest binary"
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit of `min_words` words or more, in code points.
 
-    A unit is a line, cut further after sentence ends; its digest is that of its case-folded words
-    joined by single spaces.
+    A unit is a line, cut further after sentence ends. A unit of more than LONG words is cut once more after words that their own
+    checksum picks, so that a passage inside it gives the same parts wherever it stands. The digest is that of the unit's
+    case-folded words joined by single spaces.
     """
     at = 0
     for cut in _CUT.finditer(text):
-        yield from _unit(text, at, cut.start(), min_words)
+        yield from _unit(text, at, cut.end(1) if cut[1] is not None else cut.start(), min_words)
         at = cut.end()
     yield from _unit(text, at, len(text), min_words)
 
 
 def _unit(text: str, at: int, end: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
     words = text[at:end].casefold().split()
-    if len(words) >= min_words:
-        yield at, end, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    if len(words) <= LONG:
+        if len(words) >= min_words:
+            yield at, end, _digest(words)
+        return
+    spans = [m.span() for m in _WORD.finditer(text, at, end)]
+    if len(spans) != len(words):  # characters that only one of the two takes for white space
+        yield at, end, _digest(words)
+        return
+    cuts = [0]
+    for i, w in enumerate(words):
+        if i + 1 - cuts[-1] >= min_words and zlib.crc32(w.encode("utf-8", "surrogatepass")) % PART == 0:
+            cuts.append(i + 1)
+    if len(words) - cuts[-1] < min_words and len(cuts) > 1:
+        cuts.pop()  # too short an end stays with the part before it
+    for a, b in zip(cuts, [*cuts[1:], len(words)]):
+        yield spans[a][0], spans[b - 1][1], _digest(words[a:b])
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _explode(min_words: int):
