@@ -183,10 +183,10 @@ def nodes_as_of_deleted(spark, sf_dir):
     return row(g.temporal.as_of(p["hi"] + 60_000))
 
 
-@query(f"WITH {chain_sql()}, {at_sql(P('p60'), P('p70'))}, want AS (SELECT unnest([3, 999999, 1, 7]) AS id, unnest([0, 1, 2, 3]) AS pos) SELECT pos, want.id, version FROM want LEFT JOIN won USING (id)")
+@query(f"WITH {chain_sql()}, {at_sql(P('p60'), P('p70'))}, want AS (SELECT unnest([3, 999999, 1, 7]) AS id, unnest([0, 1, 2, 3]) AS pos) SELECT pos, want.id, coalesce(version, -1) AS version FROM want LEFT JOIN won USING (id)")
 def nodes_at_tx_by_ids(spark, sf_dir):
     g, p = _chain(spark, sf_dir)
-    return g.temporal.at_by_ids([3, 999999, 1, 7], p["p60"], p["p70"]).select("pos", "id", "version")
+    return g.temporal.at_by_ids([3, 999999, 1, 7], p["p60"], p["p70"]).select("pos", "id", F.coalesce("version", F.lit(-1)).alias("version"))
 
 
 # intervals

@@ -11,7 +11,7 @@ from strataspan.queries import QUERIES, SQL
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def one(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and pd.isna(x):
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and pd.isna(x):
             return "null"
         if isinstance(x, float):
             return str(int(x)) if x.is_integer() else str(round(x, 6))
