@@ -38,12 +38,16 @@ def verify_chains(v: DataFrame, kind: str = "node", stubs: DataFrame | None = No
     return own.join(broken, "id", "left").select("id", (F.col("_own") & F.col("_broken").isNull()).alias("valid"))
 
 
-#: Shadow keys that resolve to columns of the row; other keys are properties.
-def resolve_property(df: DataFrame, key: str) -> Column:
-    shadow = {
-        "tkg_id": "id", "tkg_version": "version", "tkg_valid_from": "s", "tkg_valid_to": "e", "tkg_tx_from": "tx_from", "tkg_tx_to": "tx_to", "tkg_deleted_at": "deleted_at",
-        "tkg_retracted": "retracted", "tkg_void": "void", "tkg_hash": "hash", "tkg_prev_hash": "prev_hash", "tkg_type": "type", "tkg_start_id": "start_id", "tkg_end_id": "end_id", "tkg_labels": "labels",
-    }
-    if key in shadow:
-        return F.col(shadow[key]) if shadow[key] in df.columns else F.lit(None)
+#: What a row tells about itself, by the names under which `resolve_property` finds it (with a prefix that no property has).
+SHADOW = {
+    "id": "id", "version": "version", "valid_from": "s", "valid_to": "e", "tx_from": "tx_from", "tx_to": "tx_to", "deleted_at": "deleted_at", "retracted": "retracted", "void": "void",
+    "hash": "hash", "prev_hash": "prev_hash", "type": "type", "start_id": "start_id", "end_id": "end_id", "labels": "labels",
+}
+
+
+def resolve_property(df: DataFrame, key: str, prefix: str = "meta_") -> Column:
+    """The property `key`, or for a prefixed key the row's own field; null where the row has no such field."""
+    if key.startswith(prefix):
+        field = SHADOW.get(key.removeprefix(prefix))
+        return F.col(field) if field in df.columns else F.lit(None)
     return F.col("props")[key]
