@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataspan.plans.lineage import checkpointed
+
 #: Python works on slices of a batch with about so many characters.
 SLICE_CHARS = 2_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["BATCH_ROWS", "SLICE_CHARS", "checkpointed", "slices", "small_batches", "table"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder that spark.checkpoint.dir names.
 
-    Where the session names none (tests on one machine), a temporary folder serves.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataspan-checkpoint-"))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
