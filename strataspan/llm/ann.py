@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import checkpointed
+from strataspan.llm.common import checkpointed, ship
 
 #: The bounded sample that the index is fitted on; every row is indexed.
 SAMPLE = 16_384
@@ -120,6 +120,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, probed: float = PRO
     An empty table gives no rows. Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = usable(vectors)
     book, dim = fit(rows, sample)
     schema = "query_id long, rank int, vec_id long, score double"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +35,29 @@ def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, i
         yield start, len(lengths)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, unless the driver's path says that they have it (PYTHONPATH, or the working folder)."""
+    top = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    here = {str(Path(p).resolve()) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    if str(top) in here or getattr(context, "_strataspan_shipped", False) or not (top / "strataspan").is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="strataspan-")) / "strataspan.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((top / "strataspan").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    context.addPyFile(str(target))  # served to every executor by the driver
+    context._strataspan_shipped = True
+
+
 #: Rows of one Arrow batch between the JVM and Python: texts are long, and each task holds a batch on either side, twice.
 BATCH_ROWS = 2000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session at BATCH_ROWS rows at most, so that tasks hold a few MB of text at a time."""
+    """Keep Arrow batches of this session at BATCH_ROWS rows at most, so that tasks hold a few MB of text at a time; and make sure that
+    the executors' Python finds this package."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(BATCH_ROWS))
