@@ -63,6 +63,12 @@ def props(**values: Column) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
 
+def record(**values: Column) -> Column:
+    """A property map of known keys. A key without a value maps to null, which every door takes for absent; unlike `props` it lets
+    Catalyst replace a lookup by the value's own expression, so only the columns that a query asks for are read and made."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+
+
 def number_key(d: Column) -> Column:
     """Equal for numbers of one exact value: integral doubles get their integer's digits, -0.0 is 0, NaN has no key."""
     whole = (d == F.floor(d)) & (F.abs(d) < 1e18)

@@ -52,7 +52,7 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def nodes(table: str, label: str, key: str, labels: Column, values: dict[str, Column]) -> DataFrame:
         t = read(spark, sf_dir, table)
-        return t.select(node_id(label, key).alias("id"), labels.alias("labels"), V.props(**values).alias("props"))
+        return t.select(node_id(label, key).alias("id"), labels.alias("labels"), V.record(**values).alias("props"))
 
     one = lambda label: F.array(F.lit(label))
     c = F.col
@@ -106,7 +106,7 @@ def star_rels(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ("IN_RE
         out.append(rel(orders, "PLACED", "PLACED", F.col("o_orderkey"), node_id("Customer", "o_custkey"), node_id("Order", "o_orderkey"), s=_epoch("o_orderdate")))
     if "CONTAINS" in types:
         lines = numbered(read(spark, sf_dir, "lineitem").select(*LINE_ORDER), LINE_ORDER).join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        values = V.props(quantity=V.real(F.col("l_quantity")), price=V.real(F.col("l_extendedprice")), flag=V.text(F.col("l_returnflag")))
+        values = V.record(quantity=V.real(F.col("l_quantity")), price=V.real(F.col("l_extendedprice")), flag=V.text(F.col("l_returnflag")))
         out.append(rel(lines, "CONTAINS", "CONTAINS", F.col("rn"), node_id("Order", "l_orderkey"), node_id("Part", "l_partkey"), values, _epoch("o_orderdate")))
     if "SUPPLIED_BY" in types:
         pairs = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -137,7 +137,7 @@ def chains(spark: SparkSession, sf_dir: str, variant: str = "b") -> DataFrame:
     rows = e.select(
         "id",
         F.array(F.lit("User"), c("event_type")).alias("labels"),
-        F.when(~c("void"), V.props(event_type=V.text(c("event_type")), value=V.real(c("value")), k=V.integer(c("k")))).alias("props"),
+        F.when(~c("void"), V.record(event_type=V.text(c("event_type")), value=V.real(c("value")), k=V.integer(c("k")))).alias("props"),
         c("version").alias("_version"),
         c("last").alias("_last"),
         F.when(c("cor"), c("t") - DAY).otherwise(c("t")).alias("_s"),
@@ -163,7 +163,7 @@ def probes(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node a row of embeddings, labelled Vec and its cluster."""
     t = read(spark, sf_dir, "embeddings")
-    return versioned(t.select(F.col("vec_id").alias("id"), F.array(F.lit("Vec"), F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"), V.props(embedding=V.vector(F.col("embedding"))).alias("props")))
+    return versioned(t.select(F.col("vec_id").alias("id"), F.array(F.lit("Vec"), F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"), V.record(embedding=V.vector(F.col("embedding"))).alias("props")))
 
 
 def values_fixture(spark: SparkSession) -> DataFrame:
