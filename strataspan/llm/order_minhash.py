@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +14,8 @@ from strataspan.llm.common import checkpointed, slices, small_batches
 
 #: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link.
 K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: Further rounds that split what did not link with its bucket's leader.
-ROUNDS = 2
+#: Bins of a text's bag of words; texts of a bucket that a task compares with as many others at once; words of texts that it keeps split.
+BINS, BLOCK, SPLIT = 64, 512, 4_000_000
 #: Bytes that one vectorised step takes.
 STEP = 1 << 18
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
@@ -127,12 +129,23 @@ def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words of each text, its sketches); texts without words have none (zeros)."""
     hashes, counts = word_hashes(texts)
-    out = np.zeros((len(texts), SKETCHES), np.int64)
+    return counts, _sketched(hashes, counts)
+
+
+def _sketched(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(counts), SKETCHES), np.int64)
     some = counts > 0
     if some.any():
         h, n = kmers(hashes, counts[some])
         out[some] = sketches(h, n)
-    return counts, out
+    return out
+
+
+def bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """texts x BINS: how many words of each text fall into each bin (65535 at most)."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    bins = np.bincount(text * BINS + (hashes % np.uint64(BINS)).astype(np.int64), minlength=len(counts) * BINS)
+    return np.minimum(bins, 65535).astype(np.uint16).reshape(-1, BINS)
 
 
 def distance(a: list, b: list, most: int) -> int:
@@ -215,9 +228,11 @@ def _sketch(batches):
         texts = batch.column(1)
         for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 2 * STEP):
             part = batch.slice(a, b - a)
-            counts, rows = sketch_texts([t or "" for t in part.column(1).to_pylist()])
+            hashes, counts = word_hashes([t or "" for t in part.column(1).to_pylist()])
+            rows = _sketched(hashes, counts)
+            bag = pa.array([x.tobytes() for x in bags(hashes, counts)], pa.binary())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, SKETCHES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat], ["doc_id", "digest", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat, bag], ["doc_id", "digest", "n", "sketch", "bag"])
 
 
 def _verify(least: float):
@@ -235,16 +250,125 @@ def _verify(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+_KEY = ["s", "low", "high"]
+
+
+def _groups(batches) -> Iterator[pa.Table]:
+    """The runs of rows of one key, whatever batches they lie in."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in _KEY], 1)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+            if held and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(keys[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group that can link and need a test yet, and the least share of words in which they differ.
+
+    Left out, exactly: pairs of one component, pairs that another task has (that of an earlier sketch they share, or of another pair of
+    blocks), and pairs whose lengths or bags of words differ by more edits than a link allows. An edit puts one word into a bag, takes one
+    out, or both, and words that share a bin only make bags more alike; so the larger of the two surpluses is at most the distance.
+    """
+    n = group["n"].to_numpy().astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    n, of, i_th = n[order], group["component"].to_numpy()[order], int(group["i"][0].as_py())
+    bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint16).reshape(-1, BINS)[order].astype(np.int32)
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)[order]
+    block, low, high = group["block"].to_numpy()[order], group["low"][0].as_py(), group["high"][0].as_py()
+    most = (n * (1 - least) + 1e-9).astype(np.int64)
+    ends = np.searchsorted(n - most, n, "right")  # rows of up to so many words more can link
+    left, right, share = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    step = max(1, (1 << 20) // (BINS * len(n)))
+    for a in range(0, len(n) - 1, step):
+        b, end = min(a + step, len(n)), int(ends[min(a + step, len(n)) - 1])
+        some = of[a:b, None] != of[None, a:end]
+        some &= (np.arange(a, b)[:, None] < np.arange(a, end)) & (n[a:b, None] >= (n - most)[None, a:end])
+        if low != high:
+            some &= block[a:b, None] != block[None, a:end]
+        x, y = np.nonzero(some)
+        x, y = x + a, y + a
+        for lo in range(0, len(x), 1 << 14):
+            i, j = x[lo : lo + (1 << 14)], y[lo : lo + (1 << 14)]
+            apart = bag[i] - bag[j]
+            far = (np.abs(apart).sum(1) + np.abs(apart.sum(1))) // 2
+            near = np.flatnonzero(far <= most[j])
+            near = near[(sketch[i[near], :i_th] != sketch[j[near], :i_th]).all(1)]
+            left.append(order[i[near]])
+            right.append(order[j[near]])
+            share.append(far[near] / n[j[near]])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(share)
+
+
+def _involved(least: float) -> Callable:
+    """Of each group, the rows that have a candidate in it."""
+
+    def run(batches):
+        for group in _groups(batches):
+            left, right, _ = candidates(group, least)
+            if len(left):
+                yield from group.take(pa.array(np.unique(np.r_[left, right]))).to_batches()
+
+    return run
+
+
+def _links(least: float) -> Callable:
+    """Of each group, links that connect all its texts that are connected by links in it; the likeliest are aligned first."""
+
+    def run(batches):
+        for group in _groups(batches):
+            left, right, share = candidates(group, least)
+            ids, texts = group["rep"].to_pylist(), group["text"]
+            parent = {c: c for c in group["component"].to_pylist()}
+            of = group["component"].to_pylist()
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            split, total = {}, 0
+            found = []
+            for p in np.argsort(share, kind="stable").tolist():
+                i, j = int(left[p]), int(right[p])
+                x, y = find(of[i]), find(of[j])
+                if x == y:
+                    continue
+                if total > SPLIT:
+                    split, total = {}, 0
+                for k in (i, j):
+                    if k not in split:
+                        split[k] = words(texts[k].as_py())
+                        total += len(split[k])
+                if similar(split[i], split[j], least):
+                    parent[x] = y
+                    found.append((ids[i], ids[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicates: documents linked, through others perhaps, by alignments of `least` or more.
 
     1. Every text gets its digest and SKETCHES order min-hashes; equal texts form one class, represented by its least
        doc_id, and only representatives go on, so a text with thousands of copies is sketched into buckets once.
-    2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member: one pair a member,
-       never all pairs. Texts whose lengths alone forbid a link are not aligned.
-    3. `rounds` times, the texts that did not link with their leader are dealt by a further sketch as well, and each part of a bucket
-       gets a leader of its own, again one pair a member.
-    4. The links' connected components are the classes.
+    2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member, and the links' connected
+       components follow. Texts whose lengths alone forbid a link are not aligned.
+    3. In buckets whose other members are of different components yet, linked ones included, every pair of different components is
+       excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Buckets are compared by blocks of about
+       BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
+    4. The connected components of all links are the classes: any two texts that share a sketch and are `least` alike are in one.
 
     Input doc_id (integer), text; other columns are ignored. Rows of one doc_id count as one document. Null texts and texts
     without words link with nothing, except that equal texts without words form one class; a null text is alone. Where a row's
@@ -256,38 +380,34 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     texts = rows.where(F.col("text").isNotNull())
-    base = checkpointed(texts.select("doc_id", "text", digest.alias("digest")).mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>"))
-    classes = checkpointed(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    base = checkpointed(texts.select("doc_id", "text", digest.alias("digest")).mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary"))
+    classes = checkpointed(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")))
     spread = classes.where("n > 0 and rep is not null").select("rep", "n", F.posexplode("sketch").alias("i", "s"))
     buckets = spread.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = checkpointed(spread.join(buckets.select("s", "leader"), "s").select("s", "i", "rep", "n", "leader"))
     fits = F.least("n", "leader.n") >= F.lit(least) * F.greatest("n", "leader.n") - 1e-9
-
-    def pairs(found: DataFrame) -> DataFrame:
-        return found.where(F.col("rep") != F.col("leader.rep")).where(fits).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
-
+    others = members.where(F.col("rep") != F.col("leader.rep"))
+    tried = others.where(fits).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
     in_buckets = members.select(F.col("rep").alias("doc_id")).distinct()
     known = checkpointed(texts.join(in_buckets, "doc_id", "left_semi"))
     left, right = known.toDF("a", "text_a"), known.toDF("b", "text_b")
-
-    def verified(found: DataFrame) -> DataFrame:
-        return checkpointed(found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
-
-    tried = pairs(members)
-    edges = verified(tried)
-    sketch = classes.select("rep", "sketch")
-    rest, linked = members, edges
-    for r in range(1, rounds + 1):
-        apart = (F.col("a") == F.col("leader.rep")) & (F.col("b") == F.col("rep"))
-        rest = rest.where(F.col("rep") != F.col("leader.rep")).join(linked, apart, "left_anti").drop("leader", "s2")
-        rest = rest.join(sketch, "rep").withColumn("s2", F.element_at("sketch", F.pmod(F.col("i") + r, F.lit(SKETCHES)) + 1)).drop("sketch")
-        part = rest.groupBy("s", "s2").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        rest = checkpointed(rest.join(part.select("s", "s2", "leader"), ["s", "s2"]))
-        more = pairs(rest)
-        linked = verified(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        edges = edges.unionByName(linked)
+    edges = checkpointed(tried.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
     labels = components(edges)
+
+    in_one = others.select("s", "i", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "i", "rep", F.coalesce("label", "rep").alias("component"))
+    mixed = in_one.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = in_one.join(mixed.select("s", blocks.alias("blocks")), "s").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "i", "rep", "component", "block")
+    schema = "s long, low int, high int, i int, rep long, component long, block int, n int, sketch array<long>, bag binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    ready = dealt.join(classes.drop("digest"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    rest = checkpointed(ready.mapInArrow(_involved(least), schema))
+    told = rest.join(known.withColumnRenamed("doc_id", "rep"), "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    more = checkpointed(told.mapInArrow(_links(least), "a long, b long"))
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     done = base.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     alone = rows.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))

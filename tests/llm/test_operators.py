@@ -246,6 +246,19 @@ def test_near_duplicates_odd_rows(spark):
     assert order_minhash.near_duplicates(docs(spark, ODD).limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("centre", [0, 60, 119])
+def test_near_duplicates_of_a_star(spark, centre, monkeypatch):
+    """Every text that shares a sketch with the centre and is 0.8 like it is in its class, wherever the centre's id lies."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 16, raising=False)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = [[w if rng.random() > 0.14 else f"n{rng.randint(0, 10**6)}" for w in base] if i != centre else base for i in range(120)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    _, sketched = order_minhash.sketch_texts([" ".join(t) for t in texts])
+    near = [i for i, t in enumerate(texts) if (sketched[i] == sketched[centre]).any() and order_minhash.similar(base, t)]
+    assert len(near) > 60 and {got[i] for i in near} == {got[centre]}
+
+
 # pseudonyms
 
 
