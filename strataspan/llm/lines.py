@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, the sentences in them, and content-defined parts of long ones."""
+"""Substring dedup by hashing lines, the sentences in them, runs of short ones, and content-defined parts of long ones."""
 
 from __future__ import annotations
 
@@ -15,25 +15,55 @@ from strataspan.llm.common import small_batches
 
 #: Units with fewer words are too common by chance to count as repeats.
 MIN_WORDS = 6
-#: Units with more words than this are cut after words whose checksum is divisible by PART.
-LONG, PART = 16, 6
+#: Units with more words than LONG are cut after the word whose checksum is the least of WINDOW consecutive ones.
+LONG, WINDOW = 16, 16
 _CUT = re.compile(r"(?<=[.!?])([^\w\s]*)\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
 UNIT = "key long, at int, until int, digest binary"
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit of `min_words` words or more, in code points.
+    """(start, end, digest) of each unit, in code points; in text order, without overlap.
 
-    A unit is a line, cut further after sentence ends. A unit of more than LONG words is cut once more after words that their own
-    checksum picks, so that a passage inside it gives the same parts wherever it stands. The digest is that of the unit's
-    case-folded words joined by single spaces.
+    A unit is a line, cut further after sentence ends. Consecutive ones of fewer than `min_words` words are one unit together; where even
+    those have fewer, between longer ones, the digest takes in the `min_words` words before (at the start of a text, behind) as well, so it
+    always stands for `min_words` words or more. A unit of more than LONG words is cut once more after the words that have the least
+    checksum of any WINDOW consecutive ones, so that a passage inside it gives the same parts wherever it stands. The digest is that of the unit's case-folded words joined
+    by single spaces.
     """
+    run = None  # start, end and number of words of the short pieces since the last longer one
+    tail: list[str] = []
+    for at, end in _pieces(text):
+        words = text[at:end].casefold().split()
+        if not words:
+            continue
+        if len(words) < min_words:
+            run = (run[0], end, run[2] + len(words)) if run else (at, end, len(words))
+            continue
+        if run:
+            yield from _run(text, run, tail, words, min_words)
+            run = None
+        yield from _unit(text, at, end, min_words)
+        tail = words[-min_words:]
+    if run:
+        yield from _run(text, run, tail, [], min_words)
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for cut in _CUT.finditer(text):
-        yield from _unit(text, at, cut.end(1) if cut[1] is not None else cut.start(), min_words)
+        yield at, cut.end(1) if cut[1] is not None else cut.start()
         at = cut.end()
-    yield from _unit(text, at, len(text), min_words)
+    yield at, len(text)
+
+
+def _run(text: str, run: tuple[int, int, int], before: list[str], behind: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    at, end, n = run
+    if n >= min_words:
+        yield from _unit(text, at, end, min_words)
+    elif before or behind:
+        own = text[at:end].casefold().split()
+        yield at, end, _digest([*before, "\n", *own] if before else [*own, "\n", *behind[:min_words]])
 
 
 def _unit(text: str, at: int, end: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
@@ -46,14 +76,31 @@ def _unit(text: str, at: int, end: int, min_words: int) -> Iterator[tuple[int, i
     if len(spans) != len(words):  # characters that only one of the two takes for white space
         yield at, end, _digest(words)
         return
-    cuts = [0]
-    for i, w in enumerate(words):
-        if i + 1 - cuts[-1] >= min_words and zlib.crc32(w.encode("utf-8", "surrogatepass")) % PART == 0:
-            cuts.append(i + 1)
-    if len(words) - cuts[-1] < min_words and len(cuts) > 1:
-        cuts.pop()  # too short an end stays with the part before it
+    cuts = _cuts(words)
     for a, b in zip(cuts, [*cuts[1:], len(words)]):
-        yield spans[a][0], spans[b - 1][1], _digest(words[a:b])
+        own = words[a:b]
+        if len(own) < min_words:
+            need = min_words - len(own)
+            own = [*words[max(0, a - need) : a], "\n", *own] if a >= need else [*own, "\n", *words[b : b + need]]
+        yield spans[a][0], spans[b - 1][1], _digest(own)
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where the parts of a long unit start: after the least checksum of each WINDOW, the last one of equals unless an earlier window has one."""
+    one = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    sums = [zlib.crc32(b.to_bytes(4), a) for a, b in zip([0, *one], one)]  # of a word after the one before it
+    cuts, best = [0], -1
+    for k in range(len(sums) - WINDOW + 1):
+        last = k + WINDOW - 1
+        if best < k:
+            best = min(range(last, k - 1, -1), key=sums.__getitem__)
+        elif sums[last] < sums[best]:
+            best = last
+        else:
+            continue
+        if best + 1 < len(words):
+            cuts.append(best + 1)
+    return cuts
 
 
 def _digest(words: list[str]) -> bytes:

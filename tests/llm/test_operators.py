@@ -358,6 +358,27 @@ def test_repeated_units_go_but_the_earliest(spark):
             assert text == "".join([*keep, t[at:]])
 
 
+def test_short_pieces_have_units(spark):
+    """A repeated passage of 50 words loses units, however short its sentences and lines are."""
+    rng = random.Random(13)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for most in (1, 2, 5, 9):
+        rows, shared = [], []
+        for d in range(20):
+            pieces = []
+            while sum(map(len, pieces)) < 60:
+                pieces.append([name() for _ in range(rng.randint(1, most))])
+            shared.append(" ".join(w for p in pieces for w in [*p[:-1], p[-1] + rng.choice([".", "!!", ".\n"])]))
+            rows += [(2 * d, f"{name()}. {shared[d]} {name()}."), (2 * d + 1, " ".join(f"{name()}." for _ in range(9)) + " " + shared[d] + f" {name()} {name()}. {name()}.")]
+        out = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, rows)).collect()}
+        for d in range(20):
+            assert out[2 * d]["n_removed"] == 0
+            assert len(out[2 * d + 1]["text"].split()) <= 12 + len(shared[d].split()) * 0.6
+    same = "\n".join(f"{name()}.!!" for _ in range(150))
+    copies = {r["doc_id"]: r["text"].split() for r in lines.dedup_lines(docs(spark, [(1, same), (2, same), (3, "one. two. three."), (4, "one. two. three.")])).collect()}
+    assert len(copies[1]) == 150 and not copies[2] and len(copies[4]) == 3
+
+
 # secrets
 
 BRUTE = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
