@@ -16,7 +16,7 @@ from strataspan.plans.lineage import checkpointed
 SLICE_CHARS = 2_000_000
 
 
-__all__ = ["BATCH_ROWS", "SLICE_CHARS", "checkpointed", "slices", "small_batches", "table"]
+__all__ = ["BATCH_BYTES", "SLICE_CHARS", "checkpointed", "fresh", "ship", "slices", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,14 +50,26 @@ def ship(spark: SparkSession) -> None:
     context._strataspan_shipped = True
 
 
-#: Rows of one Arrow batch between the JVM and Python: texts are long, and each task holds a batch on either side, twice.
-BATCH_ROWS = 2000
+#: Bytes of one Arrow batch between the JVM and Python: each task holds a batch on either side, twice.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session at BATCH_ROWS rows at most, so that tasks hold a few MB of text at a time; and make sure that
-    the executors' Python finds this package."""
+    """Keep Arrow batches of this session at BATCH_BYTES at most (it stays so: plans read the setting when they run), so that tasks hold
+    a few MB of text at a time, however long the texts are; and make sure that the executors' Python finds this package."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already (Spark's names ignore case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out

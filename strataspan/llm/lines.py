@@ -1,167 +1,150 @@
-"""Substring dedup by hashing lines, the sentences in them, runs of short ones, and content-defined parts of long ones."""
+"""Substring dedup by hashing lines, the clauses in them and runs of short ones."""
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspan.llm.common import small_batches
 
-#: Units with fewer words are too common by chance to count as repeats.
-MIN_WORDS = 6
-#: Units with more words than LONG are cut after the word whose checksum is the least of WINDOW consecutive ones.
-LONG, WINDOW = 16, 16
-_CUT = re.compile(r"(?<=[.!?])([^\w\s]*)\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+")
-UNIT = "key long, at int, until int, digest binary"
+#: A unit takes in the lines or clauses behind it until it has so many words.
+MIN_WORDS = 8
+#: A stretch of repeated units goes if it has so many words, or is the whole text.
+MIN_RUN = 25
+#: Pieces that repeat earlier ones of their own batch are dealt to so many groups instead of their digest's.
+SPREAD = 1 << 20
+#: Where lines and clauses end.
+_CUT = re.compile(r"(?<=[.!?;:,])[^\w\s]*\s+|\s*\n\s*")
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit, in code points; in text order, without overlap.
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, end, digest) of each unit, in code points, in text order.
 
-    A unit is a line, cut further after sentence ends. Consecutive ones of fewer than `min_words` words are one unit together; where even
-    those have fewer, between longer ones, the digest takes in the `min_words` words before (at the start of a text, behind) as well, so it
-    always stands for `min_words` words or more. A unit of more than LONG words is cut once more after the words that have the least
-    checksum of any WINDOW consecutive ones, so that a passage inside it gives the same parts wherever it stands. The digest is that of the unit's case-folded words joined
-    by single spaces.
+    Pieces are lines, cut further where a clause or sentence ends. A unit begins with a piece and takes in the next ones until it has
+    `min_words` words, so short lines are hashed together with those behind them, and a repeated passage gives the same units wherever it
+    stands. The last unit reaches back until it has as many. The digest is that of the case-folded words joined by single spaces; a text
+    of fewer than `min_words` words has no unit.
     """
-    run = None  # start, end and number of words of the short pieces since the last longer one
-    tail: list[str] = []
-    for at, end in _pieces(text):
-        words = text[at:end].casefold().split()
-        if not words:
-            continue
-        if len(words) < min_words:
-            run = (run[0], end, run[2] + len(words)) if run else (at, end, len(words))
-            continue
-        if run:
-            yield from _run(text, run, tail, words, min_words)
-            run = None
-        yield from _unit(text, at, end, min_words)
-        tail = words[-min_words:]
-    if run:
-        yield from _run(text, run, tail, [], min_words)
-
-
-def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    starts, ends, total, words = [], [], [0], []
     at = 0
-    for cut in _CUT.finditer(text):
-        yield at, cut.end(1) if cut[1] is not None else cut.start()
-        at = cut.end()
-    yield at, len(text)
-
-
-def _run(text: str, run: tuple[int, int, int], before: list[str], behind: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    at, end, n = run
-    if n >= min_words:
-        yield from _unit(text, at, end, min_words)
-    elif before or behind:
+    for cut in [*_CUT.finditer(text), None]:
+        end = cut.start() if cut else len(text)
         own = text[at:end].casefold().split()
-        yield at, end, _digest([*before, "\n", *own] if before else [*own, "\n", *behind[:min_words]])
-
-
-def _unit(text: str, at: int, end: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    words = text[at:end].casefold().split()
-    if len(words) <= LONG:
-        if len(words) >= min_words:
-            yield at, end, _digest(words)
-        return
-    spans = [m.span() for m in _WORD.finditer(text, at, end)]
-    if len(spans) != len(words):  # characters that only one of the two takes for white space
-        yield at, end, _digest(words)
-        return
-    cuts = _cuts(words)
-    for a, b in zip(cuts, [*cuts[1:], len(words)]):
-        own = words[a:b]
-        if len(own) < min_words:
-            need = min_words - len(own)
-            own = [*words[max(0, a - need) : a], "\n", *own] if a >= need else [*own, "\n", *words[b : b + need]]
-        yield spans[a][0], spans[b - 1][1], _digest(own)
-
-
-def _cuts(words: list[str]) -> list[int]:
-    """Where the parts of a long unit start: after the least checksum of each WINDOW, the last one of equals unless an earlier window has one."""
-    one = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
-    sums = [zlib.crc32(b.to_bytes(4), a) for a, b in zip([0, *one], one)]  # of a word after the one before it
-    cuts, best = [0], -1
-    for k in range(len(sums) - WINDOW + 1):
-        last = k + WINDOW - 1
-        if best < k:
-            best = min(range(last, k - 1, -1), key=sums.__getitem__)
-        elif sums[last] < sums[best]:
-            best = last
-        else:
-            continue
-        if best + 1 < len(words):
-            cuts.append(best + 1)
-    return cuts
-
-
-def _digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if own:
+            starts.append(at)
+            ends.append(end)
+            words += own
+            total.append(len(words))
+        at = cut.end() if cut else end
+    out, j = [], 0
+    if len(words) < min_words:
+        return out
+
+    def digest(i: int, j: int) -> int:
+        return xxhash.xxh3_64_intdigest(" ".join(words[total[i] : total[j]]).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    for i in range(len(starts)):
+        while j < len(starts) and total[j] - total[i] < min_words:
+            j += 1
+        if total[j] - total[i] < min_words:
+            if out[-1][1] < ends[-1]:
+                i = next(k for k in range(i, -1, -1) if total[-1] - total[k] >= min_words)
+                out.append((starts[i], ends[-1], digest(i, len(starts))))
+            break
+        out.append((starts[i], ends[j - 1], digest(i, j)))
+    return out
 
 
 def _explode(min_words: int):
+    """doc, text_key, digest, span (start << 32 | end), spread: 0, or where another unit of the batch comes before with the same digest, a
+    number of many. Such a unit is a repeat whatever else there is, so a line that a third of all texts hold meets itself once a batch."""
+
     def run(batches):
         for batch in batches:
-            key, at, until, digest = [], [], [], []
-            for k, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                for a, b, d in units(text.as_py(), min_words):
+            doc, key, digest, span = [], [], [], []
+            for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for a, b, h in units(text.as_py(), min_words):
+                    doc.append(d)
                     key.append(k)
-                    at.append(a)
-                    until.append(b)
-                    digest.append(d)
+                    digest.append(h)
+                    span.append(a << 32 | b)
+            ids = np.array([-(1 << 63) if d is None else d for d in doc], np.int64)
+            keys, digests, spans = (np.array(x, np.int64) for x in (key, digest, span))
+            null = np.array([d is not None for d in doc], bool)
+            order = np.lexsort((spans, keys, ids, null, digests))
+            same = np.zeros(len(order), bool)
+            if len(order):
+                group = np.r_[True, digests[order][1:] != digests[order][:-1]]
+                first = order[np.flatnonzero(group)[np.cumsum(group) - 1]]  # of each row's digest, the earliest in the batch
+                same[order] = (ids[first] != ids[order]) | (null[first] != null[order]) | (keys[first] != keys[order]) | (spans[first] != spans[order])
+            spread = np.where(same, (keys ^ spans) % SPREAD + 1, 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(until, pa.int32()), pa.array(digest, pa.binary())], ["key", "at", "until", "digest"]
+                [pa.array(doc, pa.int64()), pa.array(keys), pa.array(digests), pa.array(spans), pa.array(spread.astype(np.int32))], ["doc", "text_key", "digest", "span", "spread"]
             )
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Remove every repeated unit but its earliest occurrence over all documents.
+def stretches(text: str, spans: list[int], min_run: int) -> list[tuple[int, int]]:
+    """The (start, end) of what goes: repeated units that overlap or have only blanks and marks between them, joined."""
+    joined: list[list[int]] = []
+    for span in sorted(spans):
+        a, b = span >> 32, span & 0xFFFFFFFF
+        if joined and (a <= joined[-1][1] or not any(map(str.isalnum, text[joined[-1][1] : a]))):
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    whole = len(text.split())
+    return [(a, b) for a, b in joined if (n := len(text[a:b].split())) >= min_run or n == whole]
+
+
+def _cut(at: int, spans: int, min_run: int):
+    """Replaces the column of spans by the text that is left and the stretches that went."""
+
+    def run(batches):
+        for batch in batches:
+            rest, removed = [], []
+            for text, found in zip(batch.column(at), batch.column(spans).to_pylist(), strict=True):
+                text = text.as_py()
+                gone = stretches(text, found, min_run) if found else []
+                kept, end = [], 0
+                for a, b in gone:
+                    kept.append(text[end:a])
+                    end = b
+                rest.append("".join([*kept, text[end:]]) if gone else text)
+                removed.append([{"start": a, "end": b} for a, b in gone])
+            columns = [c for i, c in enumerate(batch.columns) if i not in (at, spans)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rest, pa.string()), pa.array(removed, _REMOVED)], ["doc_id", "text", "removed"])
+
+    return run
+
+
+_REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """Remove what repeats of all texts, except its earliest occurrence: stretches of units whose digest an earlier unit has.
 
-    Occurrences rank by (doc_id, offset). Digests are counted with partial aggregation first, and only
-    repeated ones, with their earliest occurrence, meet the units again, so neither step gathers the
-    occurrences of one digest: a line that a third of all documents hold streams through the join.
+    Units rank by (doc_id, text, offset), nulls first. Each digest's units are ordered in one shuffle of numbers, without texts; units that
+    repeat one of their own batch skip their digest's group, so no digest gathers more than a unit a batch. A stretch goes if it has `min_run`
+    words or is the whole text, so a single short line that many texts hold stays (with `min_run` 0 it goes, too).
 
-    Input doc_id, text (others ignored). Null or empty text has no unit and stays as it is; rows with one
-    doc_id count as one document, whose equal units at the same offset are one occurrence; a null doc_id
-    ranks first. Returns doc_id, text (what is left), removed (array of start, end: offsets in the original
-    text, ascending), n_removed.
+    Input doc_id (integer), text; other columns are ignored. Null or empty texts have no unit and stay as they are; so do texts of fewer than
+    `min_words` words. Rows of one doc_id and different texts are documents of their own; rows that are equal in both are one
+    document, and are treated alike: none is a repeat of the other. An empty table gives no rows. Returns doc_id, text (what is left),
+    removed (array of start, end: code points of the original text, ascending, without overlap), n_removed.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
-    unit = keyed.where(F.col("text").isNotNull() & (F.length("text") > 0)).mapInArrow(_explode(min_words), UNIT)
-    first = (
-        unit.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first"))
-        .where("n > 1")
-        .select("digest", "first")
-    )
-    gone = (
-        unit.join(first, "digest")
-        .where(~F.struct("key", "at").eqNullSafe(F.col("first")))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), F.col("until").alias("end")))).alias("removed"))  # units of one document
-    )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(
-        "removed",
-        start,
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    return (
-        keyed.join(gone.withColumnRenamed("key", "gone_key"), F.col("key").eqNullSafe(F.col("gone_key")), "left")
-        .withColumn("removed", F.coalesce("removed", none))
-        .select(F.col("key").alias("doc_id"), F.when(F.size("removed") > 0, rest).otherwise(text).alias("text"), "removed", F.size("removed").cast("long").alias("n_removed"))
-    )
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    unit = keyed.where(F.col("text").isNotNull() & (F.length("text") > 0)).mapInArrow(_explode(min_words), "doc long, text_key long, digest long, span long, spread int")
+    earlier = Window.partitionBy("digest", "spread").orderBy("doc", "text_key", "span")
+    repeats = unit.withColumn("rank", F.rank().over(earlier)).where("rank > 1 or spread > 0")
+    gone = repeats.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")).toDF("gone_doc", "gone_key", "spans")  # units of one document
+    marked = keyed.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_key") == F.col("gone_key")), "left").select("doc", "text", "spans")
+    out = marked.mapInArrow(_cut(1, 2, min_run), "doc_id long, text string, removed array<struct<start:int,end:int>>")
+    return out.withColumn("n_removed", F.size("removed").cast("long"))

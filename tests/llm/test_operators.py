@@ -332,34 +332,101 @@ def test_encoding_query(spark, model):
 # lines
 
 
-def test_repeated_units_go_but_the_earliest(spark):
+def brute_stretches(rows, min_words=8, min_run=25):
+    """Of every distinct (doc_id, text), the words that go, by position: a plain scan over all pieces of all texts, without hashes."""
+    docs = sorted({(d is not None, d or 0, t) for d, t in rows if t}, key=lambda x: (x[0], x[1], lines_key(x[2])))
+    seen, gone = set(), {}
+    for known, d, t in docs:
+        pieces, at = [], 0
+        for m in [*re.finditer(r"(?<=[.!?;:,])[^\w\s]*\s+|\s*\n\s*", t), None]:
+            if words := t[at : m.start() if m else len(t)].casefold().split():
+                pieces.append(words)
+            at = m.end() if m else at
+        total = sum(map(len, pieces))
+        if total < min_words:
+            gone[(d if known else None, t)] = []
+            continue
+        marks, at, found = [False] * total, 0, []
+        last = max(i for i in range(len(pieces)) if sum(map(len, pieces[i:])) >= min_words)
+        for i in range(len(pieces)):
+            unit = []
+            for p in pieces[i:]:
+                unit += p
+                if len(unit) >= min_words and i != last:
+                    break
+            if i <= last:
+                whole = tuple(w for p in pieces[i:] for w in p)
+                shortest = []
+                for p in pieces[i:]:
+                    shortest += p
+                    if len(shortest) >= min_words:
+                        break
+                found.append((at, tuple(shortest)))
+                if i == last and len(whole) > len(shortest):
+                    found.append((at, whole))
+            at += len(pieces[i])
+        for a, unit in found:
+            if unit in seen:
+                marks[a : a + len(unit)] = [True] * len(unit)
+            seen.add(unit)
+        out, a = [], 0
+        while a < total:
+            b = a
+            while b < total and marks[b] == marks[a]:
+                b += 1
+            if marks[a] and (b - a >= min_run or b - a == total):
+                out.append((a, b))
+            a = b
+        gone[(d if known else None, t)] = out
+    return gone
+
+
+def lines_key(text):
+    return KEYS[text]
+
+
+KEYS = {}
+
+
+def test_repeated_stretches_go_but_the_earliest(spark):
     rng = random.Random(10)
-    shared = [prose(rng, 9).capitalize() + "." for _ in range(6)]
+    sentence = lambda n: prose(rng, n).capitalize() + rng.choice([".", "!", ".", ","])
+    shared = [" ".join(sentence(rng.randint(1, 9)) for _ in range(n)) for n in (1, 2, 6, 9, 12)]
     rows = []
-    for d in range(40):
-        own = [prose(rng, 12) + f" unique{d}." for _ in range(3)]
-        own.insert(rng.randint(0, 3), rng.choice(shared))
+    for d in range(60):
+        own = [sentence(rng.randint(1, 14)) for _ in range(6)]
+        own.insert(rng.randint(0, 6), rng.choice(shared))
         rows.append((d + 100, rng.choice([" ", "\n", "\n\n"]).join(own)))
-    rows += [(199, "too short here.\ntoo short here."), *[(200, rows[3][1])] * 2]
-    out = {(r["doc_id"], r["text"]): [(s["start"], s["end"]) for s in r["removed"]] for r in lines.dedup_lines(docs(spark, [*rows, *ODD])).collect()}
-    first, want = {}, {}
-    for d, t in sorted(rows):
-        for a, b, h in lines.units(t):
-            first.setdefault(h, (d, a))
-    for d, t in rows:
-        want[d] = [(a, b) for a, b, h in lines.units(t) if first[h] != (d, a)]
-    got = {d: s for (d, _), s in out.items() if d in want}
-    assert got == want and any(want.values())
-    for (d, text), spans in out.items():
-        if d in want:
-            t, keep, at = dict(rows)[d], [], 0
-            for a, b in spans:
-                keep, at = [*keep, t[at:a]], b
-            assert text == "".join([*keep, t[at:]])
+    rows += [(199, "too short here.\ntoo short here."), *[(200, rows[3][1])] * 2, (205, rows[3][1]), (205, rows[4][1] + " " + sentence(40)), (None, rows[5][1]), (None, rows[6][1] + " tail")]
+    KEYS.update((r["t"], r["k"]) for r in spark.createDataFrame([(t,) for _, t in rows if t], "t string").select("t", F.xxhash64("t").alias("k")).distinct().collect())
+    out = lines.dedup_lines(docs(spark, [*rows, *ODD])).collect()
+    assert len(out) == len(rows) + len(ODD)
+    want = brute_stretches(rows)
+    texts = dict(((d, KEYS[t]), t) for d, t in rows)
+    seen = 0
+    for r in out:
+        for (d, t), gone in want.items():
+            words, at, cut = t.split(), 0, [(s["start"], s["end"]) for s in r["removed"]]
+            if d != r["doc_id"] or "".join([*(t[a:b] for a, b in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(t)]))]) != r["text"]:
+                continue
+            if [(len(t[:a].split()), len(t[:b].split())) for a, b in cut] == gone:
+                seen += 1
+                break
+        else:
+            assert r["doc_id"] in (None, 1, 2, 3, 4, 5, 6) and r["n_removed"] == 0
+    assert seen >= len(rows) and sum(map(bool, want.values())) > 25 and texts
+
+
+def test_rows_of_one_id_are_cut_alone(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 60) + ".", prose(rng, 60) + "."
+    out = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(docs(spark, [(1, a), (5, a), (5, b), (5, b)])).collect())
+    assert out == sorted([(1, a, 0), (5, "", 1), (5, b, 0), (5, b, 0)])
+    assert lines.dedup_lines(docs(spark, ODD).limit(0)).isEmpty()
 
 
 def test_short_pieces_have_units(spark):
-    """A repeated passage of 50 words loses units, however short its sentences and lines are."""
+    """A repeated passage of 50 words loses most of them, however short its sentences and lines are."""
     rng = random.Random(13)
     name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     for most in (1, 2, 5, 9):
@@ -373,10 +440,20 @@ def test_short_pieces_have_units(spark):
         out = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, rows)).collect()}
         for d in range(20):
             assert out[2 * d]["n_removed"] == 0
-            assert len(out[2 * d + 1]["text"].split()) <= 12 + len(shared[d].split()) * 0.6
+            assert len(out[2 * d + 1]["text"].split()) <= 12 + 20
     same = "\n".join(f"{name()}.!!" for _ in range(150))
-    copies = {r["doc_id"]: r["text"].split() for r in lines.dedup_lines(docs(spark, [(1, same), (2, same), (3, "one. two. three."), (4, "one. two. three.")])).collect()}
-    assert len(copies[1]) == 150 and not copies[2] and len(copies[4]) == 3
+    few = " ".join(name() for _ in range(8))
+    copies = {r["doc_id"]: r["text"].split() for r in lines.dedup_lines(docs(spark, [(1, same), (2, same), (3, "one. two. three."), (4, "one. two. three."), (5, few), (6, few)])).collect()}
+    assert len(copies[1]) == 150 and not copies[2] and len(copies[4]) == 3 and len(copies[5]) == 8 and not copies[6]
+
+
+def test_a_common_line_stays(spark):
+    rng = random.Random(14)
+    line = "one very common line that stands in each and every text"
+    rows = [(i, f"{prose(rng, 30)}.\n{line}\n{prose(rng, 30)}.") for i in range(300)]
+    out = lines.dedup_lines(docs(spark, rows).repartition(7))
+    assert out.where("n_removed > 0").isEmpty()
+    assert lines.dedup_lines(docs(spark, rows).repartition(7), min_run=0).where("n_removed = 1").count() == 299
 
 
 # secrets
