@@ -140,6 +140,44 @@ def test_neighbours_recall_and_edges(spark):
     assert set(out["query_id"]) == set(range(0, 1500, 50))
 
 
+def recall(spark, v, **how):
+    """Of the five nearest by brute force of each 50th row, the part found; rows as near as the fifth count."""
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(3), **how).toPandas()
+    hit = 0
+    for q in range(0, len(v), 50):
+        cos = x @ x[q]
+        cos[q] = -9
+        got = out[out["query_id"] == q]["vec_id"]
+        assert len(got) == 5
+        hit += (cos[got] >= np.sort(cos)[-5] - 1e-12).sum()
+    return hit / (len(range(0, len(v), 50)) * 5)
+
+
+def test_neighbours_in_a_dense_group(spark):
+    """A third of all rows are near copies of one vector, which their codes can't tell apart."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 32))
+    v[rng.permutation(6000)[:2000]] = v[0] + 0.05 * rng.normal(size=(2000, 32))
+    assert recall(spark, v, block=700) >= 0.9
+
+
+def test_neighbours_of_clusters_probe_few_cells(spark):
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(60, 32)), 100, 0) + 0.2 * rng.normal(size=(6000, 32))
+    book, _ = ann.fit(ann.usable(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")))
+    assert book.probes <= 0.15 * len(book.cells)
+    assert recall(spark, v) >= 0.9
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0, 0.1]), (7, [1.0, 0.1, 0.1]), (7, [1.0, 0.1, 0.1]), (7, [0.0, 1.0, 0.1]), (100, [0.0, 1.0, 0.0]), (100, [0.0, 0.9, 0.0]), (9, [0.3, 0.3, 1.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in out) == sorted([(50, i) for i in range(1, 6)] + [(100, i) for i in range(1, 6)] * 2)
+    assert sorted(r["vec_id"] for r in out if r["query_id"] == 50) == [7, 7, 7, 9, 100]
+    assert [r["vec_id"] for r in out if r["query_id"] == 100 and r["rank"] == 1] == [100, 100]
+
+
 def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(few).collect()}
