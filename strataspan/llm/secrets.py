@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import checkpointed
+from strataspan.llm.common import checkpointed, fresh
 
 # Fixed values of the contract: kind, pattern, least length of the match (assign: of its group 2).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: Kinds that the method adds to the three: well-known prefixes of issued credentials, and key blocks.
-ISSUED = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A kind that the method adds to the three: well-known prefixes of issued credentials, and private keys with their bodies (the header alone where none follows).
+ISSUED = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*+[A-Za-z0-9-]++:[^\n]*+\n)*+[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----)?"
+#: A value is copied, not live, from so many owners on, or from so many repositories of at least two owners.
+OWNERS, REPOSITORIES = 3, 50
 # A maximal run of one class is at least n long iff the pattern with {n,} finds it, at the same place.
 LONG_ACCESS = r"AKIA[A-Z0-9]{14,}"
 LONG_HEX = r"[0-9a-f]{16,}"
+#: Values of more repositories than SALTED are dealt to SALTS groups where they meet their documents.
+SALTED, SALTS = 1000, 64
+#: Matches that are scanned together.
+RUN = 256
 ORDER = ["assign", "access", "hex", "issued"]
 
 
@@ -29,7 +35,8 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, value=None) -> Colu
     value = value or (lambda m: m)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -39,8 +46,14 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, value=None) -> Colu
         return F.struct(end.alias("at"), (F.when(keep(x["m"]), out).otherwise(acc["out"]) if keep else out).alias("out"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none)
+    # Runs of RUN matches are scanned from zero, and then moved to where they begin, so the work is not the square of the matches.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(pairs, i * RUN + 1, F.lit(RUN)), zero, step))
+
+    def move(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(runs, zero, move, lambda acc: acc["out"])).otherwise(none)
 
 
 def _assigned(match: Column) -> Column:
@@ -71,29 +84,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(found: DataFrame, wide_owners: int = 3) -> DataFrame:
-    """For each candidate secret: by how many documents and distinct owners (sources) it is held, and a verdict.
+def ownership(found: DataFrame, wide_owners: int = OWNERS, wide_repositories: int = REPOSITORIES) -> DataFrame:
+    """For each candidate secret: by how many distinct repositories (documents) and owners (sources) it is held, and a verdict.
 
-    Values are compared by 64-bit hash and length. Counting goes in two levels, (value, owner) first, so a value
-    copied into a third of all rows is summed before it is shuffled. `copied`: held by `wide_owners` owners or
-    more, as examples and documentation are; `live`: specific to its owners.
+    Values are compared by 64-bit hash. Distinct (value, repository) and (value, owner) come first, with partial aggregation, so a value that
+    a third of all rows hold is spread over its repositories before it is counted; a null repository or owner is one of its own.
+    `copied`: held by `wide_owners` owners or more, or by `wide_repositories` repositories of two owners or more, as examples and documentation
+    are; `live`: specific to its owners.
     """
-    values = found.select("source", F.explode("found").alias("s")).select("source", F.xxhash64("s.value").alias("secret"))
-    by_owner = values.groupBy("secret", "source").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("secret").agg(
-        F.count(F.lit(1)).alias("owners"),
-        F.sum("n").alias("uses"),
-        F.when(F.count(F.lit(1)) >= wide_owners, "copied").otherwise("live").alias("verdict"),
+    values = found.select("source", "doc_id", F.explode("found").alias("s")).select(
+        F.xxhash64("s.value").alias("secret"),
+        F.explode(F.array(F.struct(F.lit(True).alias("owner"), F.col("source").alias("name")), F.struct(F.lit(False).alias("owner"), F.col("doc_id").cast("string").alias("name")))).alias("holder"),
     )
+    distinct = values.groupBy("secret", "holder.owner", "holder.name").agg(F.lit(1))
+    counts = distinct.groupBy("secret").agg(F.count_if("owner").alias("owners"), F.count_if(~F.col("owner")).alias("repositories"))
+    copied = (F.col("owners") >= wide_owners) | (F.col("owners") >= 2) & (F.col("repositories") >= wide_repositories)
+    return counts.withColumn("verdict", F.when(copied, "copied").otherwise("live"))
 
 
-def scan_secrets(docs: DataFrame, wide_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, wide_owners: int = OWNERS, wide_repositories: int = REPOSITORIES) -> DataFrame:
     """Secrets of every text, with how widely each is copied over the corpus.
 
-    Input: doc_id, text, source (the owner; other columns are ignored). Null text is the empty text; a null source
-    is an owner of its own; equal rows are scanned each. Spans may overlap between kinds. An empty table gives no rows.
+    Input: doc_id (the repository), text, source (the owner; other columns are ignored). Null text is the empty text; a null source
+    is an owner of its own; equal rows are scanned each, and count as one repository. Spans may overlap between kinds. An empty table gives no rows.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_issued, n_live, n_copied (spans by verdict).
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_issued, n_live, n_copied (spans by verdict), max_repositories and
+    max_owners (of its most widely held value; 0 without one).
     """
     found = find_spans(docs)
     base = F.filter("found", lambda s: s["kind"] != "issued")
@@ -110,45 +126,55 @@ def scan_secrets(docs: DataFrame, wide_owners: int = 3) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         )
     )
+    # A value that many rows hold is dealt by salt, and its counts go to each salt.
+    uses = report.select("row", F.explode("found").alias("s")).select("row", F.xxhash64("s.value").alias("secret"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    owned = _salted(ownership(report, wide_owners, wide_repositories))
     held = (
-        report.select("row", F.explode("found").alias("s"))
-        .select("row", F.xxhash64("s.value").alias("secret"))
-        .join(ownership(report, wide_owners), "secret")
+        uses.join(owned, (uses["secret"] == owned["secret"]) & (uses["salt"] % owned["salts"] == owned["salt"]))
         .groupBy("row")
-        .agg(F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "copied").alias("n_copied"))
+        .agg(
+            F.count_if(F.col("verdict") == "live").alias("n_live"),
+            F.count_if(F.col("verdict") == "copied").alias("n_copied"),
+            F.max("repositories").alias("max_repositories"),
+            F.max("owners").alias("max_owners"),
+        )
     )
     zero = F.lit(0).cast("long")
-    return report.join(held, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_issued", F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied")
-    )
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_live", "n_copied", "max_repositories", "max_owners")]
+    return report.join(held, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_issued", *counts)
 
 
-def redact(docs: DataFrame, wide_owners: int = 3, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, wide_owners: int = OWNERS, wide_repositories: int = REPOSITORIES, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every span of a live-looking secret replaced by `mask`; n_chars follows the text.
 
-    Texts without such a span stay as they are, null included. Only documents with candidates are joined.
+    Input as for `scan_secrets`; all columns stay, whatever their names. Texts without such a span stay as they are, null included. Only
+    documents with candidates are joined; repeated rows are masked each; an empty table gives no rows.
     """
     columns = docs.columns
-    with_found = docs.withColumn("__found", find_column(F.col("text")))
-    clean = with_found.where(F.size("__found") == 0).select(*columns)
-    held = checkpointed(with_found.where(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
-    verdicts = ownership(held.select((F.col("source") if "source" in columns else F.lit(None)).cast("string").alias("source"), F.col("__found").alias("found")), wide_owners).where("verdict = 'live'")
-    live = (
-        held.select("__row", F.explode("__found").alias("s"))
-        .withColumn("secret", F.xxhash64("s.value"))
-        .join(verdicts, "secret")
-        .groupBy("__row")
-        .agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias("__live"))  # spans of one document
-    )
+    found, row, live = fresh([*columns, "secret", "salt", "s"], "found", "row", "live")
+    with_found = docs.withColumn(found, find_column(F.col("text")))
+    clean = with_found.where(F.size(found) == 0).select(*columns)
+    held = checkpointed(with_found.where(F.size(found) > 0).withColumn(row, F.monotonically_increasing_id()))
+    owner = F.col("source") if "source" in columns else F.lit(None)
+    verdicts = ownership(held.select("doc_id", owner.cast("string").alias("source"), F.col(found).alias("found")), wide_owners, wide_repositories).where("verdict = 'live'").select("secret")
+    spans = held.select(row, F.explode(found).alias("s")).select(row, "s", F.xxhash64("s.value").alias("secret"))
+    # A live value has few owners, but may be in every document of one.
+    spots = spans.join(verdicts, "secret").groupBy(row).agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias(live))  # spans of one document
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        more = F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("__live", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    done = held.join(live, "__row", "left").withColumn("text", F.when(F.col("__live").isNull(), text).otherwise(masked))
+    masked = F.aggregate(live, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    done = held.join(spots, row, "left").withColumn("text", F.when(F.col(live).isNull(), text).otherwise(masked))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(done.select(*columns))
+
+
+def _salted(owned: DataFrame) -> DataFrame:
+    """Counts by secret and salt: a value of over SALTED repositories stands in SALTS copies."""
+    salts = F.when(F.col("repositories") > SALTED, F.lit(SALTS)).otherwise(F.lit(1))
+    return owned.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))

@@ -528,5 +528,25 @@ def test_ownership_separates_copied_from_live(spark):
     assert secrets.redact(docs(spark, rows).limit(0)).isEmpty()
 
 
+def test_ownership_counts_distinct_repositories_and_owners(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, "token=abcdefghijkl0000 token=abcdefghijkl0000 again token=abcdefghijkl0000", "a"), (2, "token=abcdefghijkl0000", "b"), (2, "token=abcdefghijkl0000", "b")]
+    rows += [(10 + i, "x " + key.format(f"Zm9vYmFy{i}zzzz=="), f"o{i}") for i in range(5)] + [(20, key.format("c2hhcmVk"), "a"), (30, "-----BEGIN PRIVATE KEY----- gone", "a")]
+    rows += [(1000 + i, "password=manyrepositories1", f"o{i % 2}") for i in range(60)]
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert (out[1]["max_repositories"], out[1]["max_owners"], out[1]["n_live"], out[1]["n_copied"]) == (2, 2, 3, 0)
+    assert all((out[10 + i]["max_repositories"], out[10 + i]["n_live"]) == (1, 1) for i in range(5)) and out[30]["n_issued"] == 1
+    assert (out[1000]["max_repositories"], out[1000]["max_owners"], out[1000]["n_copied"]) == (60, 2, 1)
+    odd = docs(spark, rows + ODD).withColumns({"__found": F.lit(1), "_found": F.lit(2), "secret": F.lit(3), "s": F.lit(4), "salt": F.lit(5), "live": F.lit(6)})
+    clean = secrets.redact(odd)
+    assert clean.columns == odd.columns and {r["text"] for r in clean.where("doc_id between 10 and 14").collect()} == {"x [SECRET]"}
+
+
+def test_secrets_in_a_long_text(spark):
+    text = " ".join(f"{i:016x} token=abcdefghijkl{i}" for i in range(3000))
+    row = secrets.scan_secrets(docs(spark, [(1, text)])).first()
+    assert (row["n_hex"], row["n_assign"]) == (3000, 3000) and row["spans"] == brute(text)
+
+
 def test_slices():
     assert list(slices([], 5)) == [] and list(slices([9, 1, 1, 9, 0], 5)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
