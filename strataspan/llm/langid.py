@@ -15,8 +15,8 @@ from strataspan.llm.common import slices, small_batches
 #: Subwords are the n-grams of these many UTF-8 bytes of the lower-cased text, spaces included.
 ORDERS = (2, 3, 4)
 BUCKETS, DIM = 1 << 16, 16
-#: The bounded training sample: about so many documents of each language, and of all together.
-PER_LANG, SAMPLE = 600, 6000
+#: The bounded training sample: about so many documents of each language, of all together, and their characters; one of over a 64th of those is not taken.
+PER_LANG, SAMPLE, SAMPLE_CHARS = 600, 6000, 64_000_000
 EPOCHS, RATE, BATCH = 30, 0.5, 64
 #: Of the calibration documents, the part that rejection may lose.
 MISS = 0.001
@@ -145,23 +145,32 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE) -> list:
+def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list:
     """A bounded sample of labelled documents outside the held-out third: about `per_lang` of each language.
 
-    One pass counts languages (a few rows); a second keeps each row with probability per_lang / count, by a hash
-    of its id, and takes the `most` lowest hashes, so the driver gets a bounded number of rows at any size.
+    One pass counts languages (a few rows). Each document has a hash of its id, divided by the share of its language that is wanted, so that the order is
+    fair between frequent and rare ones; the `most` first documents make the sample, or fewer, so that they have `chars` characters at most. The driver
+    first gets their numbers, then the texts.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(u < F.element_at(share, F.col("lang"))).orderBy(u, "doc_id").limit(most).select("text", "lang").collect()
-
-
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE) -> Model:
-    got = [r for r in sample(docs, per_lang, most) if has_letter(r["text"])]
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) / F.element_at(share, F.col("lang"))
+    rows = rows.withColumn("u", u).withColumn("size", F.length("text")).where((F.col("u") < 1) & (F.col("size") <= chars // 64))
+    first, total, last = rows.select("u", "size").orderBy("u", "size").limit(most).collect(), 0, -1.0
+    for r in first:
+        total += r["size"]
+        if total > chars:
+            break
+        last = r["u"]
+    return rows.where(F.col("u") <= last).orderBy("u", "doc_id", "text").limit(most).select("text", "lang").collect()
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model of the labelled documents outside the held-out third; one that knows no language if there are none."""
+    got = [r for r in sample(docs, per_lang, most, chars) if has_letter(r["text"])]
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -169,10 +178,12 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), prefix:
     """Predict the language of every whole text.
 
     Input doc_id, text and the columns in `keep`. Null text, or text without a letter, gives `und`, score 0 and
-    is rejected; so does everything if nothing was learned. Repeated rows repeat. Returns `keep`, doc_id, text and,
-    with `prefix` before their names, lang_pred, score (calibrated probability), rejected.
+    is rejected; so does everything if nothing was learned. Repeated rows repeat; an empty table gives no rows. Returns `keep`, doc_id, text and,
+    with `prefix` before their names, lang_pred, score (calibrated probability), rejected. Names that are in `keep` already are refused.
     """
     columns = [*dict.fromkeys([*keep, "doc_id", "text"])]
+    if clash := {prefix + x for x in ("lang_pred", "score", "rejected")} & set(columns):
+        raise ValueError(f"columns {sorted(clash)} are in the way; give a prefix")
     small_batches(docs.sparkSession)
     names = [prefix + x for x in ("lang_pred", "score", "rejected")]
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x langs floats, whatever the input

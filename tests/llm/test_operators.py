@@ -98,6 +98,33 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).where(F.size("regions") > 0).isEmpty()
 
 
+def test_decontamination_of_other_scripts_and_repeats(monkeypatch):
+    rng = random.Random(15)
+    cyrillic = lambda n: "".join(rng.choice("абвгдежзийклмнопрстуфхцчшщэюя ") for _ in range(n))
+    items = [(i, cyrillic(600)) for i in range(50)] + [(90, "a" * 100), (91, "ответ"), (92, "問い" * 30)]
+    text = cyrillic(20_000) + items[7][1] + cyrillic(500) + "\n  Ответ \nответ да\n" + "a" * 5000 + "問い" * 31
+    ix = decontaminate.index(items)
+    want = decontaminate.find(text, ix)
+    assert (7, 20_000 + text[20_000:].index(items[7][1][:5]), 20_600, 0) in [(i, a, b, e) for i, a, b, e in want if i == 7]
+    assert [x[:3] for x in want if x[0] == 91] == [(91, text.index("Ответ"), text.index("Ответ") + 5)] and {x[0] for x in want} == {7, 90, 91, 92}
+    counted = []
+    real = np.unique
+    monkeypatch.setattr(decontaminate, "PAIRS", 2000)
+    monkeypatch.setattr(decontaminate.np, "unique", lambda x, **k: (counted.append(len(x)), real(x, **k))[1])
+    assert decontaminate.find(text, ix) == want and max(counted) < 60_000
+
+
+def test_decontamination_in_parts(spark):
+    rng = random.Random(16)
+    items = [(i, prose(rng, 15)) for i in range(9)]
+    rows = [(d, f"{prose(rng, 20)} {items[d][1]} {prose(rng, 5)} {items[(d + 4) % 9][1]}") for d in range(9)] + ODD
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(map(str, decontaminate.contamination(docs(spark, rows), bench, part_chars=n).select("doc_id", "regions").collect())) for n in (10**6, 200))
+    assert whole == parts
+    clean = decontaminate.excise(docs(spark, rows).withColumn("_regions", F.lit(1)).withColumn("n_chars", F.lit(5)), bench, part_chars=200)
+    assert clean.columns[-2:] == ["_regions", "n_chars"] and clean.where("doc_id = 3 and source = 's'").first()["n_chars"] < len(rows[3][1]) - 60
+
+
 # sharding
 
 
@@ -206,6 +233,32 @@ def test_language_accuracy_and_edges(spark):
     assert set(r["lang_pred"] for r in langid.identify(df, none).collect()) == {"und"}
 
 
+def test_language_sample_is_fair_to_the_rare(spark):
+    """With more languages than the sample holds in full, each has about the same part of it, and texts are bounded in all."""
+    df = spark.range(24_000).select("id", F.when(F.col("id") < 4000, F.concat(F.lit("rare"), F.col("id") % 10)).otherwise(F.concat(F.lit("common"), F.col("id") % 5)).alias("lang")).selectExpr("id as doc_id", "lang", "concat('text ', id) as text")
+    from collections import Counter
+
+    got = Counter(r["lang"] for r in langid.sample(df, per_lang=100, most=600))
+    assert len(got) == 15 and min(got.values()) >= 20 and sum(got.values()) == 600
+    long = df.where("doc_id < 300").withColumn("text", F.expr("repeat('ab ', 1000)"))
+    assert 0 < len(langid.sample(long, chars=200_000)) <= 66
+    with pytest.raises(ValueError):
+        langid.identify(df.withColumn("score", F.lit(1)), langid.train([], []), keep=("score",))
+
+
+def test_language_scores_are_calibrated():
+    """Of predictions on noisy texts, the mean score is near the part that is right."""
+    rng = random.Random(17)
+    def text(a, n):
+        return " ".join(rng.choice(["ba", "na", "ka"] if (rng.random() < 0.7) == a else ["wi", "tri", "shi"]) for _ in range(n))
+    known = [(a, text(a, rng.randint(2, 9))) for a in (True, False) for _ in range(700)]
+    m = langid.train([t for _, t in known], ["x" if a else "y" for a, _ in known])
+    new = [(a, text(a, rng.randint(2, 9))) for a in (True, False) for _ in range(1500)]
+    langs, probs, _ = m.predict([t for _, t in new])
+    right = np.mean([("x" if a else "y") == p for (a, _), p in zip(new, langs)])
+    assert 0.7 < right and abs(probs.mean() - right) < 0.06
+
+
 def test_language_rejects_the_unknown():
     rng = random.Random(5)
     a, b = [prose(rng, 30) for _ in range(80)], [prose(rng, 30).translate(str.maketrans("aeio", "äöüß")) for _ in range(80)]
