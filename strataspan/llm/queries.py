@@ -14,8 +14,8 @@ from strataspan.llm.lines import dedup_lines
 from strataspan.llm.order_minhash import near_duplicates
 from strataspan.llm.pieces import digest, encode
 from strataspan.llm.pii import pseudonyms
-from strataspan.llm.secrets import scan_secrets
-from strataspan.llm.sharding import shard_by_bytes
+from strataspan.llm.secrets import scan_secrets, secrets_sql
+from strataspan.llm.sharding import SHARD_SQL, shard_by_bytes
 
 
 def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_extraction, op2_decontamination, op3_sharding, op4_ann, op5_language, op6_near_duplicates, op7_pii, op8_pieces, op9_substring, op10_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": SHARD_SQL, "op10_secrets": secrets_sql()}

@@ -178,3 +178,30 @@ def _salted(owned: DataFrame) -> DataFrame:
     """Counts by secret and salt: a value of over SALTED repositories stands in SALTS copies."""
     salts = F.when(F.col("repositories") > SALTED, F.lit(SALTS)).otherwise(F.lit(1))
     return owned.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
+def secrets_sql() -> str:
+    """The scan for DuckDB, with the contract's patterns as they are (matches that fail are dropped afterwards)."""
+    issued = ISSUED.replace("*+", "*").replace("++", "+")
+    kinds = [(ASSIGN, "length(regexp_extract(m, {p}, 2)) >= 12", "regexp_extract(m, {p}, 2)"), (ACCESS, "length(m) >= 18", "m"), (HEX, "length(m) >= 16", "m"), (issued, "true", "m")]
+    parts = []
+    for rank, (pattern, keep, value) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""SELECT id, {rank} AS rank, '{ORDER[rank]}' AS kind, stop - length(m) AS start, stop, {value.format(p=p)} AS value FROM (
+                SELECT id, m, sum(length(gap) + length(m)) OVER (PARTITION BY id ORDER BY i) AS stop FROM (
+                    SELECT id, unnest(found) AS m, unnest(string_split_regex(text, {p})[:-2]) AS gap, unnest(range(len(found))) AS i
+                    FROM (SELECT id, text, regexp_extract_all(text, {p}) AS found FROM docs) WHERE len(found) > 0)) WHERE {keep.format(p=p)}"""
+        )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+owned AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) AS owners, count(DISTINCT coalesce('d' || doc_id, '')) AS repositories FROM spans JOIN docs USING (id) GROUP BY value),
+told AS (SELECT spans.*, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS name, owners, repositories, owners >= {OWNERS} OR owners >= 2 AND repositories >= {REPOSITORIES} AS copied FROM spans JOIN owned USING (value)),
+each AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'issued') AS n_issued,
+    coalesce(string_agg(name, ',' ORDER BY start, rank) FILTER (kind <> 'issued'), '') AS base, string_agg(name, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied, max(repositories) AS max_repositories, max(owners) AS max_owners FROM told GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_issued, 0) AS n_issued, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(max_repositories, 0) AS max_repositories, coalesce(max_owners, 0) AS max_owners
+FROM docs LEFT JOIN each USING (id)
+"""
