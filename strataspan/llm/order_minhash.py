@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import checkpointed, slices, small_batches
+from strataspan.llm.common import checkpointed, fresh, slices, small_batches
 
-#: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
+#: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link. With a fifth of all words replaced at random, two texts
+#: share about a fifth of their k-mers and each sketch with probability 0.04, so it takes this many to find most links at the very threshold.
+K, ELL, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
+#: Pairs of one leader that a task aligns.
+PAIRS = 1024
 #: Bins of a text's bag of words; texts of a bucket that a task compares with as many others at once; words of texts that it keeps split.
 BINS, BLOCK, SPLIT = 64, 512, 4_000_000
 #: Bytes that one vectorised step takes.
 STEP = 1 << 18
-_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
-_TO_BLANK = bytes(b if _WORD[b] else 32 for b in range(256))
+_TO_BLANK = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
+#: Scripts that set no spaces: each character is a word.
+_ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _blanked(text: str) -> bytes:
+    """Lower case, as UTF-8, with a blank for each character that is no letter, mark or digit, and around each one of a script without spaces."""
+    low = text.lower()
+    if not low.isascii():
+        for c in set(low):
+            if c > "\x7f" and not (c.isalnum() or unicodedata.category(c)[0] == "M"):
+                low = low.replace(c, " ")
+        low = _ALONE.sub(r" \1 ", low)
+    return low.encode("utf-8", "replace").translate(_TO_BLANK)
+
+
 def words(text: str) -> list[bytes]:
-    """Lower-cased runs of letters and digits (of any script), as UTF-8."""
-    return text.lower().encode("utf-8", "replace").translate(_TO_BLANK).split()
+    """Lower-cased runs of letters and digits of any script, as UTF-8; single characters in scripts without spaces."""
+    return _blanked(text).split()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(a 64-bit hash of each word, the number of words of each text): prefix sums of a polynomial modulo 2^64."""
-    data = [t.lower().encode("utf-8", "replace").translate(_TO_BLANK) for t in texts]
+    data = [_blanked(t) for t in texts]
     blob = np.frombuffer(b" ".join([*data, b""]), dtype=np.uint8)
     ends = np.cumsum([len(d) + 1 for d in data])
     if not len(blob):
@@ -250,6 +267,20 @@ def _verify(least: float):
     return run
 
 
+def _possible(least: float) -> Callable:
+    """Of pairs, those that their bags of words don't exclude (see `candidates`)."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32) for c in ("bag_a", "bag_b"))
+            apart = a - b
+            near = (np.abs(apart).sum(1) + np.abs(apart.sum(1))) // 2 <= (n * (1 - least) + 1e-9).astype(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
 _KEY = ["s", "low", "high"]
 
 
@@ -358,43 +389,40 @@ def _links(least: float) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Classes of near-duplicates: documents linked, through others perhaps, by alignments of `least` or more.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
 
-    1. Every text gets its digest and SKETCHES order min-hashes; equal texts form one class, represented by its least
-       doc_id, and only representatives go on, so a text with thousands of copies is sketched into buckets once.
-    2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member, and the links' connected
-       components follow. Texts whose lengths alone forbid a link are not aligned.
-    3. In buckets whose other members are of different components yet, linked ones included, every pair of different components is
-       excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Buckets are compared by blocks of about
-       BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
-    4. The connected components of all links are the classes: any two texts that share a sketch and are `least` alike are in one.
 
-    Input doc_id (integer), text; other columns are ignored. Rows of one doc_id count as one document. Null texts and texts
-    without words link with nothing, except that equal texts without words form one class; a null text is alone. Where a row's
-    doc_id is null it takes the class of its equal texts (null if they have no id either). Empty tables give no rows.
-
-    Returns doc_id, class_id (the least doc_id of the class), kept (whether the row has that id).
-    """
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """digest, class_id, class_digest of every distinct text that is not null: of its class the least doc_id (nulls last), and of that the least digest."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    texts = rows.where(F.col("text").isNotNull())
-    base = checkpointed(texts.select("doc_id", "text", digest.alias("digest")).mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary"))
-    classes = checkpointed(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")))
-    spread = classes.where("n > 0 and rep is not null").select("rep", "n", F.posexplode("sketch").alias("i", "s"))
-    buckets = spread.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = checkpointed(spread.join(buckets.select("s", "leader"), "s").select("s", "i", "rep", "n", "leader"))
-    fits = F.least("n", "leader.n") >= F.lit(least) * F.greatest("n", "leader.n") - 1e-9
-    others = members.where(F.col("rep") != F.col("leader.rep"))
-    tried = others.where(fits).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    in_buckets = members.select(F.col("rep").alias("doc_id")).distinct()
-    known = checkpointed(texts.join(in_buckets, "doc_id", "left_semi"))
-    left, right = known.toDF("a", "text_a"), known.toDF("b", "text_b")
-    edges = checkpointed(tried.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
+    texts = _texts(docs).where(F.col("text").isNotNull())
+    sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary")
+    some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
+    nodes = checkpointed(some.withColumn("rep", F.monotonically_increasing_id()))  # a number for each distinct text
+    spread = nodes.where("n > 0").select("rep", F.posexplode("sketch").alias("i", "s"))
+    buckets = spread.groupBy("s").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = checkpointed(spread.join(buckets.select("s", "leader"), "s").where(F.col("rep") != F.col("leader")).select("s", "i", "rep", "leader"))
+
+    # Pairs with a bucket's leader: excluded by lengths and bags of words, or aligned.
+    facts = nodes.select("rep", "n", "bag")
+    tried = members.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = tried.join(facts.toDF("a", "n_a", "bag_a"), "a").join(facts.toDF("b", "n_b", "bag_b"), "b")
+    fits = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
+    tried = checkpointed(tried.where(fits).select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(_possible(least), "a long, b long"))
+    # A leader of many pairs stands in several copies, so that no task aligns all of them.
+    asked = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("salts"))
+    needed = members.select("rep").unionByName(members.select(F.col("leader").alias("rep"))).distinct()
+    wanted = nodes.join(needed, "rep", "left_semi").select("rep", F.col("doc_id").alias("of"), "digest")
+    known = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(F.col("of"))).select("rep", "text")
+    known = checkpointed(known.dropDuplicates(["rep"]))
+    leaders = known.toDF("a", "text_a").join(asked, "a").select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text_a")
+    salted = tried.join(asked, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    told = salted.join(known.toDF("b", "text_b"), "b").join(leaders.drop("salts"), ["a", "salt"])
+    edges = checkpointed(told.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
     labels = components(edges)
 
-    in_one = others.select("s", "i", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "i", "rep", F.coalesce("label", "rep").alias("component"))
+    in_one = members.select("s", "i", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "i", "rep", F.coalesce("label", "rep").alias("component"))
     mixed = in_one.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -402,19 +430,46 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     dealt = dealt.select("s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "i", "rep", "component", "block")
     schema = "s long, low int, high int, i int, rep long, component long, block int, n int, sketch array<long>, bag binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    ready = dealt.join(classes.drop("digest"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    ready = dealt.join(nodes.drop("digest", "doc_id"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
     rest = checkpointed(ready.mapInArrow(_involved(least), schema))
-    told = rest.join(known.withColumnRenamed("doc_id", "rep"), "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    more = checkpointed(told.mapInArrow(_links(least), "a long, b long"))
+    with_text = rest.join(known, "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    more = checkpointed(with_text.mapInArrow(_links(least), "a long, b long"))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    done = base.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
-    alone = rows.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return done.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    labelled = nodes.select("rep", "digest", "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    return labelled.join(first, "label").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("class_digest"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Classes of near-duplicates: documents linked, through others perhaps, by alignments of `least` or more.
+
+    1. Every text gets its digest and SKETCHES order min-hashes; equal texts are one node,
+       so a text with thousands of copies is sketched into buckets once.
+    2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member, and the links' connected
+       components follow. Texts whose lengths or bags of words alone forbid a link are not aligned.
+    3. In buckets whose other members are of different components yet, linked ones included, every pair of different components is
+       excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Buckets are compared by blocks of about
+       BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
+    4. The connected components of all links are the classes: any two texts that share a sketch and are `least` alike are in one.
+
+    Input doc_id (integer), text; other columns are ignored. Rows of one doc_id and different texts are documents of their own. Null texts and texts
+    without words link with nothing, except that equal texts without words form one class; a null text is alone. Where a row's
+    doc_id is null it takes the class of its equal or similar texts (null if none of them has an id). Empty tables give no rows.
+
+    Returns doc_id, class_id (the least doc_id of the class), kept (whether the row is the one of the class that stays; rows that are equal in both columns alike).
+    """
+    named = _classes(docs, least)
+    rows = _texts(docs).select("doc_id", "digest")
+    done = rows.where(F.col("digest").isNotNull()).join(named, "digest").select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).alias("kept"))
+    return done.unionByName(rows.where(F.col("digest").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id; of rows that repeat a kept doc_id all stay."""
-    gone = near_duplicates(docs, least).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """One row of each class: the one with the least doc_id, and of equal rows any one. Rows with null texts all stay. All columns stay, whatever their names."""
+    digest, order, of, of_digest = fresh([*docs.columns, "class_id", "class_digest"], "digest", "order", "of", "of_digest")
+    kept = _classes(docs, least).select(F.col("class_id").alias(of), F.col("class_digest").alias(of_digest)).distinct()
+    rows = docs.withColumn(digest, F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = rows.join(kept, (F.col(digest) == F.col(of_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of)))
+    one = found.withColumn(order, F.row_number().over(Window.partitionBy(digest, "doc_id").orderBy(F.lit(0)))).where(F.col(order) == 1)
+    return one.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))

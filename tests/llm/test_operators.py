@@ -334,7 +334,40 @@ def test_near_duplicates_find_all_links(spark):
 def test_near_duplicates_odd_rows(spark):
     got = [(r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(docs(spark, ODD)).collect()]
     assert len(got) == len(ODD) and (None, None) in got and got.count((3, 3)) == 2
-    assert order_minhash.near_duplicates(docs(spark, ODD).limit(0)).isEmpty()
+    assert order_minhash.near_duplicates(docs(spark, ODD).limit(0)).isEmpty() and order_minhash.keep_one(docs(spark, ODD).limit(0)).isEmpty()
+    one = order_minhash.keep_one(docs(spark, ODD).withColumn("class_id", F.lit(1)).withColumn("of", F.lit(2)))
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in one.collect()))) == sorted({repr(x) for x in ODD}) and one.columns[-2:] == ["class_id", "of"]
+
+
+def test_texts_of_one_id_are_apart(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, b + " end"), (None, "alone " + prose(rng, 9))]
+    got = sorted(map(repr, ((r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(docs(spark, rows)).collect())))
+    assert got == sorted(map(repr, [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (None, 5, False), (None, None, True)]))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in order_minhash.keep_one(docs(spark, rows)).collect()) == sorted([(1, a), (5, b), (0, rows[-1][1])])
+
+
+def test_words_of_other_scripts():
+    assert order_minhash.words("“Don’t”—no\u00a0way…") == [b"don", b"t", b"no", b"way"]
+    assert order_minhash.words("日本、語。abc") == ["日".encode(), "本".encode(), "語".encode(), b"abc"] and len(order_minhash.words("ไทย")) == 3
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_links_share_a_sketch(low, high):
+    """Of pairs with so much similarity, by words replaced at random places, 95 % are found."""
+    rng = random.Random(int(low * 100))
+    found = tried = 0
+    while tried < 400:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(100, 400))]
+        rate = rng.uniform(1 - high, 1 - low)
+        other = [w if rng.random() > rate else f"n{rng.randint(0, 10**6)}" for w in base]
+        alike = 1 - order_minhash.distance(base, other, len(base)) / len(base)
+        if low <= alike < high:
+            tried += 1
+            _, rows = order_minhash.sketch_texts([" ".join(base), " ".join(other)])
+            found += bool((rows[0] == rows[1]).any())
+    assert found / tried >= 0.95
 
 
 @pytest.mark.parametrize("centre", [0, 60, 119])
