@@ -17,8 +17,8 @@ from strataspan.llm.common import checkpointed, fresh, slices, small_batches
 #: Words of a k-mer; minimum k-mers of a sketch, in text order; sketches; least similarity of a link. With a fifth of all words replaced at random, two texts
 #: share about a fifth of their k-mers and each sketch with probability 0.04, so it takes this many to find most links at the very threshold.
 K, ELL, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
-#: Pairs of one leader that a task aligns.
-PAIRS = 1024
+#: Leaders that each text is aligned with first, those that share most sketches with it; pairs of one leader that a task aligns.
+LEADERS, PAIRS = 2, 1024
 #: Bins of a text's bag of words; texts of a bucket that a task compares with as many others at once; words of texts that it keeps split.
 BINS, BLOCK, SPLIT = 64, 512, 4_000_000
 #: Bytes that one vectorised step takes.
@@ -249,7 +249,8 @@ def _sketch(batches):
             rows = _sketched(hashes, counts)
             bag = pa.array([x.tobytes() for x in bags(hashes, counts)], pa.binary())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, SKETCHES), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat, bag], ["doc_id", "digest", "n", "sketch", "bag"])
+            brief = pa.array([x.tobytes() for x in rows.astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat, brief, bag], ["doc_id", "digest", "n", "sketch", "brief", "bag"])
 
 
 def _verify(least: float):
@@ -281,7 +282,7 @@ def _possible(least: float) -> Callable:
     return run
 
 
-_KEY = ["s", "low", "high"]
+_KEY = ["family", "low", "high"]
 
 
 def _groups(batches) -> Iterator[pa.Table]:
@@ -306,15 +307,15 @@ def _groups(batches) -> Iterator[pa.Table]:
 def candidates(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of one group that can link and need a test yet, and the least share of words in which they differ.
 
-    Left out, exactly: pairs of one component, pairs that another task has (that of an earlier sketch they share, or of another pair of
-    blocks), and pairs whose lengths or bags of words differ by more edits than a link allows. An edit puts one word into a bag, takes one
+    Left out, exactly: pairs of one component, pairs without a common sketch, pairs that another pair of
+    blocks has, and pairs whose lengths or bags of words differ by more edits than a link allows. An edit puts one word into a bag, takes one
     out, or both, and words that share a bin only make bags more alike; so the larger of the two surpluses is at most the distance.
     """
     n = group["n"].to_numpy().astype(np.int64)
     order = np.argsort(n, kind="stable")
-    n, of, i_th = n[order], group["component"].to_numpy()[order], int(group["i"][0].as_py())
+    n, of = n[order], group["component"].to_numpy()[order]
     bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint16).reshape(-1, BINS)[order].astype(np.int32)
-    sketch = group["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)[order]
+    brief = np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint16).reshape(-1, SKETCHES)[order]  # the low bits: equal where sketches are
     block, low, high = group["block"].to_numpy()[order], group["low"][0].as_py(), group["high"][0].as_py()
     most = (n * (1 - least) + 1e-9).astype(np.int64)
     ends = np.searchsorted(n - most, n, "right")  # rows of up to so many words more can link
@@ -333,7 +334,7 @@ def candidates(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, n
             apart = bag[i] - bag[j]
             far = (np.abs(apart).sum(1) + np.abs(apart.sum(1))) // 2
             near = np.flatnonzero(far <= most[j])
-            near = near[(sketch[i[near], :i_th] != sketch[j[near], :i_th]).all(1)]
+            near = near[(brief[i[near]] == brief[j[near]]).any(1)]
             left.append(order[i[near]])
             right.append(order[j[near]])
             share.append(far[near] / n[j[near]])
@@ -397,22 +398,24 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     """digest, class_id, class_digest of every distinct text that is not null: of its class the least doc_id (nulls last), and of that the least digest."""
     small_batches(docs.sparkSession)
     texts = _texts(docs).where(F.col("text").isNotNull())
-    sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary")
-    some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
+    sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, brief binary, bag binary")
+    some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("bag").alias("bag"))
     nodes = checkpointed(some.withColumn("rep", F.monotonically_increasing_id()))  # a number for each distinct text
-    spread = nodes.where("n > 0").select("rep", F.posexplode("sketch").alias("i", "s"))
+    spread = nodes.where("n > 0").select("rep", F.explode("sketch").alias("s"))
     buckets = spread.groupBy("s").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = checkpointed(spread.join(buckets.select("s", "leader"), "s").where(F.col("rep") != F.col("leader")).select("s", "i", "rep", "leader"))
+    members = checkpointed(spread.join(buckets.select("s", "leader"), "s").select("s", "rep", "leader"))
 
-    # Pairs with a bucket's leader: excluded by lengths and bags of words, or aligned.
+    # Pairs with the leaders of the buckets that a text is in: excluded by lengths and bags of words, or aligned.
     facts = nodes.select("rep", "n", "bag")
-    tried = members.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = members.where(F.col("rep") != F.col("leader")).groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("m"))
+    nearest = Window.partitionBy("rep").orderBy(F.desc("m"), "leader")
+    tried = shared.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LEADERS).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     tried = tried.join(facts.toDF("a", "n_a", "bag_a"), "a").join(facts.toDF("b", "n_b", "bag_b"), "b")
     fits = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
     tried = checkpointed(tried.where(fits).select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(_possible(least), "a long, b long"))
     # A leader of many pairs stands in several copies, so that no task aligns all of them.
     asked = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("salts"))
-    needed = members.select("rep").unionByName(members.select(F.col("leader").alias("rep"))).distinct()
+    needed = members.select("rep").distinct()
     wanted = nodes.join(needed, "rep", "left_semi").select("rep", F.col("doc_id").alias("of"), "digest")
     known = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(F.col("of"))).select("rep", "text")
     known = checkpointed(known.dropDuplicates(["rep"]))
@@ -422,15 +425,17 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     edges = checkpointed(told.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
     labels = components(edges)
 
-    in_one = members.select("s", "i", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "i", "rep", F.coalesce("label", "rep").alias("component"))
-    mixed = in_one.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    # Buckets that hold several components, gathered by the least of them: a family meets as a whole, so a text goes there once, not with each sketch.
+    in_one = members.select("s", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", F.coalesce("label", "rep").alias("component"))
+    mixed = in_one.groupBy("s").agg(F.min("component").alias("family"), F.max("component").alias("other")).where("family < other").select("s", "family")
+    family = checkpointed(in_one.join(mixed, "s").select("family", "rep", "component").distinct())
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = in_one.join(mixed.select("s", blocks.alias("blocks")), "s").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "i", "rep", "component", "block")
-    schema = "s long, low int, high int, i int, rep long, component long, block int, n int, sketch array<long>, bag binary"
+    dealt = family.join(sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
+    schema = "family long, low int, high int, rep long, component long, block int, n int, brief binary, bag binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    ready = dealt.join(nodes.drop("digest", "doc_id"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    ready = dealt.join(nodes.drop("digest", "doc_id", "sketch"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
     rest = checkpointed(ready.mapInArrow(_involved(least), schema))
     with_text = rest.join(known, "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
     more = checkpointed(with_text.mapInArrow(_links(least), "a long, b long"))
@@ -446,11 +451,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     1. Every text gets its digest and SKETCHES order min-hashes; equal texts are one node,
        so a text with thousands of copies is sketched into buckets once.
-    2. Texts that share a sketch share a bucket. Each text in it is aligned with the bucket's least member, and the links' connected
-       components follow. Texts whose lengths or bags of words alone forbid a link are not aligned.
-    3. In buckets whose other members are of different components yet, linked ones included, every pair of different components is
-       excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Buckets are compared by blocks of about
-       BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
+    2. Texts that share a sketch share a bucket. Each text is aligned with the least members of its buckets, of those with the LEADERS that share
+       most sketches with it, and the links' connected components follow. Texts whose lengths or bags of words alone forbid a link are not aligned.
+    3. Buckets whose members are of different components yet, linked ones included, are gathered into families by their least component. Every pair in one of
+       different components and with a common sketch is excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Families
+       are compared by blocks of about BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
     4. The connected components of all links are the classes: any two texts that share a sketch and are `least` alike are in one.
 
     Input doc_id (integer), text; other columns are ignored. Rows of one doc_id and different texts are documents of their own. Null texts and texts
