@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspan.llm.common import checkpointed, slices, small_batches
 
 #: The public vocabulary file this was built with; any BPE model whose pieces hold the space mark only in front will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a chunk; longer documents are cut, wherever the cut falls.
-CHUNK = 32_768
+#: Characters of a chunk; longer documents are cut, wherever the cut falls. Matrices that are combined at a time.
+CHUNK, FAN = 8192, 8
 SPACE = "▁"
 #: The state before a document's first piece and after its last.
 EDGE = -1
@@ -155,17 +157,28 @@ def combine(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return sorted({(x, z) for x, y in a for z in rows.get(y, ())})
 
 
-def solve(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]] | None:
-    """(entry, exit) of each chunk on the one finite path; None if there is not exactly one."""
-    ahead = [{EDGE}]
+def product(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The product of matrices in order, by neighbouring pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def solve(matrices: list[list[tuple[int, int]]], entry: int = EDGE, exit_: int = EDGE) -> list[tuple[int, int]]:
+    """(entry, exit) of each chunk on the one finite path between two states.
+
+    There is just one, as a text has one BPE encoding, and a sequence of pieces is that encoding if and only if each two neighbours stay apart; a model
+    of another kind is refused here.
+    """
+    ahead = [{exit_}]
     for m in reversed(matrices):  # what can reach the end
         ahead.append({x for x, y in m if y in ahead[-1]})
     ahead = ahead[::-1]
-    now, out = EDGE, []
+    now, out = entry, []
     for m, good in zip(matrices, ahead[1:], strict=True):
         ways = {y for x, y in m if x == now and y in good}
         if len(ways) != 1:
-            return None
+            raise ValueError(f"{len(ways)} paths where a BPE model has one")
         out.append((now, ways.pop()))
         now = out[-1][1]
     return out
@@ -219,18 +232,11 @@ def chunks(text: str, size: int, context: int) -> list[tuple[str, int, int, bool
     return out
 
 
-@lru_cache(4)
-def model(path: str) -> Pieces:
-    return Pieces(path)
-
-
 def encode_chunked(text: str, m: Pieces, size: int = CHUNK) -> list[int]:
     """What `encode` does for one giant document, on one machine."""
     text = normal(text)
     cut = chunks(text, size, m.longest)
     states = solve([transfer(m, *c) for c in cut])
-    if states is None:
-        return m.lib.encode(text[1:].replace(SPACE, " ")) if text else []
     return [i for c, (x, y) in zip(cut, states, strict=True) for i in backtrace(m, c[0], c[1], c[2], x, y)[0]]
 
 
@@ -243,20 +249,58 @@ def _row(doc, row, chunk, ids, whole):
     )
 
 
-def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
+_MATRIX = "row long, chunk long, entry array<int>, exit array<int>"
+_STATE = "row long, chunk long, x int, y int"
+
+
+def _cells(entry, exit_) -> list[list[tuple[int, int]]]:
+    return [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(entry, exit_, strict=True)]
+
+
+def _up(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("chunk")
+    cells = product(_cells(pdf["entry"], pdf["exit"]))
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "chunk": [pdf["parent"].iloc[0]], "entry": [[x for x, _ in cells]], "exit": [[y for _, y in cells]]})
+
+
+def _down(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("chunk")
+    states = solve(_cells(pdf["entry"], pdf["exit"]), int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]))
+    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "x": [x for x, _ in states], "y": [y for _, y in states]})
+
+
+def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """row, chunk, x, y: the states at both cuts of every chunk, from the chunks' matrices (row, chunk, entry, exit).
+
+    A tree: `fan` neighbours are combined at a time, level by level, until a document has one matrix; its states are the edges, and each level below takes
+    the states between its neighbours from those above. No task sees more than `fan` matrices of a document, and levels are the logarithm of its chunks.
+    """
+    levels = [checkpointed(matrices)]
+    parent = F.expr(f"chunk div {fan}")
+    while (levels[-1].agg(F.max("chunk")).first()[0] or 0) >= fan:
+        levels.append(checkpointed(levels[-1].withColumn("parent", parent).groupBy("row", "parent").applyInPandas(_up, _MATRIX)))
+    known = levels[-1].select("row").distinct().select("row", F.lit(0).cast("long").alias("parent"), F.lit(EDGE).alias("x"), F.lit(EDGE).alias("y"))
+    for level in reversed(levels):
+        below = level.withColumn("parent", parent).join(known, ["row", "parent"])
+        states = checkpointed(below.groupBy("row", "parent").applyInPandas(_down, _STATE))
+        known = states.withColumnRenamed("chunk", "parent")
+    return states
+
+
+def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """The piece ids of every whole text, in chunks of about `size` characters.
 
     A document of up to `size` characters is one chunk and one call of the library. A longer one is cut anywhere; each chunk
-    yields, alone, the transfer matrix between the states at its two cuts (a few pieces each); the matrices of a document are combined in
-    order, which leaves one state at each cut; and each chunk is then backtraced alone from its two states. Only matrices and states
-    meet by document, never its text. Should rounding of ties leave no single path (long runs of blanks can), the document is
-    encoded whole. Every chunk is decoded again and compared with its stretch of text.
+    yields, alone, the transfer matrix between the states at its two cuts (a few pieces each); `scan` combines the matrices
+    associatively, which leaves one state at each cut; and each chunk is then backtraced alone from its two states. Only matrices and states
+    meet by document, never its text. Every chunk is decoded again and compared with its stretch of text. The model file goes to the executors with the job.
 
     Input doc_id (integer), text; other columns are ignored. Null or empty texts give one chunk without ids. Repeated rows are encoded
-    each (`row` tells them apart). Returns doc_id, row, chunk (from 0), ids, whole (decoding gives the chunk's text).
+    each (`row` tells them apart); an empty table gives no rows. Returns doc_id, row, chunk (from 0), ids, whole (decoding gives the chunk's text).
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    path = shipped(docs.sparkSession, path)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "row", "text")
     giant = F.coalesce(F.length("text") > size, F.lit(False))
 
     def whole(batches):
@@ -280,13 +324,9 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
         m = model(path)
         for batch in batches:
             cells = [transfer(m, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([[x for x, _ in c] for c in cells], pa.list_(pa.int32())), pa.array([[y for _, y in c] for c in cells], pa.list_(pa.int32()))], ["row", "chunk", "entry", "exit"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        states = solve([list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(pdf["entry"], pdf["exit"], strict=True)])
-        states = states or [(EDGE - 1, EDGE - 1)] * len(pdf)
-        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "entry": [x for x, _ in states], "exit": [y for _, y in states]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), pa.array([[x for x, _ in c] for c in cells], pa.list_(pa.int32())), pa.array([[y for _, y in c] for c in cells], pa.list_(pa.int32()))], ["row", "chunk", "entry", "exit"]
+            )
 
     def trace(batches):
         m = model(path)
@@ -296,22 +336,49 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
                 out, a, b = backtrace(m, text, left, right, x, y)
                 ids.append(out)
                 same.append(m.decode(out) == text[a:b].replace(SPACE, " ").encode("utf-8", "replace"))
-            yield _row(batch.column(0), batch.column(1), batch.column(2), ids, same)
+            yield _row(batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), ids, same)
 
-    numbered = base.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
     short = numbered.where(~giant).mapInArrow(whole, ROW)
     # Giant documents are split before anything else, and their chunks dealt out evenly.
-    parts = checkpointed(numbered.where(giant).mapInArrow(cut, "doc_id long, row long, chunk int, part string, left int, right int, first boolean, last boolean").repartition("row", "chunk"))
-    states = parts.mapInArrow(matrix, "row long, chunk int, entry array<int>, exit array<int>").groupBy("row").applyInPandas(join, "row long, chunk int, entry int, exit int")
-    states = checkpointed(states)
-    solved = parts.join(states.where(F.col("entry") >= EDGE), ["row", "chunk"]).select("doc_id", "row", "chunk", "part", "left", "right", "entry", "exit").mapInArrow(trace, ROW)
-    failed = states.where(F.col("entry") < EDGE).select("row").distinct()
-    unsolved = numbered.join(failed, "row", "left_semi").select("doc_id", "row", "text").mapInArrow(whole, ROW)
-    done = short.unionByName(solved)
-    return done if failed.isEmpty() else done.unionByName(unsolved)
+    parts = checkpointed(numbered.where(giant).mapInArrow(cut, "doc_id long, row long, chunk long, part string, left int, right int, first boolean, last boolean").repartition("row", "chunk"))
+    states = scan(parts.mapInArrow(matrix, _MATRIX), fan)
+    return short.unionByName(parts.join(states, ["row", "chunk"]).select("doc_id", "row", "chunk", "part", "left", "right", "x", "y").mapInArrow(trace, ROW))
+
+
+def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """The chunks with `text`, what their ids say, in place of `ids`; a document's text is that of its chunks in order. No ids give the empty text."""
+    small_batches(encoded.sparkSession)
+    path = shipped(encoded.sparkSession, path)
+    columns = [c for c in encoded.columns if c != "ids"]
+
+    def run(batches):
+        m = model(path)
+        for batch in batches:
+            at = batch.schema.get_field_index("chunk")
+            texts = [m.decode(i or []).decode("utf-8", "replace") for i in batch.column("ids").to_pylist()]
+            texts = [t[1:] if k == 0 else t for k, t in zip(batch.column(at).to_pylist(), texts, strict=True)]  # the space mark that encoding puts in front
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
+
+    return encoded.mapInArrow(run, encoded.select(*columns).schema.add("text", "string"))
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the model file to the executors, and returns its name there; a name that is no file here is taken to be there already."""
+    if not os.path.isfile(path):
+        return path
+    known = spark.sparkContext.__dict__.setdefault("_strataspan_files", set())
+    if path not in known:
+        spark.sparkContext.addFile(path)
+        known.add(path)
+    return os.path.basename(path)
+
+
+@lru_cache(4)
+def model(path: str) -> Pieces:
+    return Pieces(path if os.path.isfile(path) else SparkFiles.get(path))
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("part", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+_PART = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int64()), ("part", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -439,6 +439,27 @@ def test_matrices_combine_associatively(model):
     assert left == right == [(pieces.EDGE, pieces.EDGE)]
 
 
+def test_states_come_from_a_tree(spark, model):
+    """The tree's states are those of a pass over all chunks, with several levels and several documents."""
+    rng = random.Random(3)
+    texts = [pieces.normal("".join(rng.choice("abcde  ") for _ in range(n))) for n in (700, 9000, 65, 3000)]
+    all_ = [[pieces.transfer(model, *c) for c in pieces.chunks(t, 64, model.longest)] for t in texts]
+    rows = [(i, k, [x for x, _ in m], [y for _, y in m]) for i, ms in enumerate(all_) for k, m in enumerate(ms)]
+    rng.shuffle(rows)
+    got = {(r["row"], r["chunk"]): (r["x"], r["y"]) for r in pieces.scan(spark.createDataFrame(rows, pieces._MATRIX), fan=3).collect()}
+    assert got == {(i, k): s for i, ms in enumerate(all_) for k, s in enumerate(pieces.solve(ms))} and max(map(len, all_)) > 81
+    with pytest.raises(ValueError):
+        pieces.solve([[(pieces.EDGE, 1)], [(2, pieces.EDGE)]])
+
+
+def test_decoding_gives_the_texts(spark):
+    rows = [*ODD[:4], (30, "".join(random.Random(9).choice("abcd ☃é") for _ in range(5000))), (31, " leading and  double ")]
+    out = {}
+    for r in pieces.decode(pieces.encode(docs(spark, rows), size=400)).collect():
+        out.setdefault((r["doc_id"], r["row"]), {})[r["chunk"]] = r["text"]
+    assert sorted((d, "".join(c[k] for k in sorted(c))) for (d, _), c in out.items()) == sorted((d, t or "") for d, t in rows)
+
+
 def test_encoding_query(spark, model):
     rows = [*ODD, (30, "".join(random.Random(9).choice("abcdefgh ") for _ in range(5000)))]
     coded = pieces.encode(docs(spark, rows), size=500)
