@@ -44,6 +44,48 @@ def test_extraction_without_article_keeps_the_dense_region():
     assert html.main_text(page).splitlines()[-1] == "short" and "menu" not in html.main_text(page)
 
 
+LONG = "A body paragraph of the article that goes on for a good while, as body paragraphs do. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body><nav><a href=/>Menu</a></nav><article><p>{0}</p><p>Short.</p></article>",
+        "<body><article><p class='notice'>Note!<p>{0}</p><p>Short.</p></article><footer>f</footer>",
+        "<body><article><ul><li class='ad'>Buy now</ul><p>{0}</p><p>Short.</p></article>",
+        "<body><form action=/><div><p>{0}</p><p>Short.</p></div><input name=q></form></body>",
+        "<body><article><p class='market share'>{0}</p><p>Short.</p></article></body>",
+        "<body><div><ul><li><a href=/>Home</a><li><a href=/x>Other things</a></ul></div><div><p>{0}</p><p>Short.</p></div><div>© all rights</div></body>",
+        "<body><article><p>{0}</p><ul><li><a href=/1>More of this</a><li><a href=/2>And that too</a></ul><p>Short.</p><section id=comments><p>First comment of a reader!</p></section></article></body>",
+        "<body><div class='sidebar'><p>Some words beside it.</p></div><div class='content'><p>{0}</p><p>Short.</p></div><aside><p>Elsewhere</p></aside></body>",
+    ],
+)
+def test_extraction_of_broken_and_plain_pages(page):
+    assert html.main_text(page.format(LONG * 3)) == " ".join((LONG * 3).split()) + "\nShort."
+
+
+def test_extraction_goes_by_ratios(monkeypatch):
+    """Without ratios, smoothing and threshold the menu, advert and footer of a page come along."""
+    page = "<body><nav><ul><li><a href=/>One</a><li><a href=/>Two</a></ul></nav><div class=ad>Buy this.</div><article><h1>Head</h1><p>{0}</p><p>End.</article><footer>&copy; us</footer>".format(LONG)
+    want = html.main_text(page)
+    assert want == f"Head\n{LONG.strip()}\nEnd."
+    monkeypatch.setattr(html, "LEVEL", 0.0)
+    monkeypatch.setattr(html, "LEAST", -0.5)
+    monkeypatch.setattr(html, "LEAST_ASIDE", -0.5)
+    assert "Buy this." in html.main_text(page) and "© us" in html.main_text(page)
+
+
+def test_extraction_of_the_given_pages(spark):
+    """Against a plain reading of the given pages, whose articles are one element of headings and paragraphs."""
+    from html import unescape
+
+    for page in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", page[0], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|article)>", re.sub(r"<br[^>]*>", " ", inner))
+        want = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert html.main_text(page[0]) == "\n".join(filter(None, want))
+
+
 def test_extraction_query(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<article><p>a</p></article>"), (3, "v", "<article><p>a</p></article>"), (None, "w", "plain & simple"), (4, "x", "<nav>only menu</nav>")], "page_id long, url string, html string")
     out = html.extract(df.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("x"))).collect()
