@@ -18,6 +18,10 @@ from strataspan.llm.secrets import scan_secrets, secrets_sql
 from strataspan.llm.sharding import SHARD_SQL, shard_by_bytes
 
 
+#: The setting that holds the secret key of pseudonyms, and what the query takes for tests and checks without it.
+PII_KEY, DEMO_KEY = "spark.strataspan.pii.key", "not a secret: for tests"
+
+
 def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -53,8 +57,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, n_spans, spans (kind:start:end:alias by start, comma-joined)."""
-    out = pseudonyms(table(spark, sf_dir, "documents"))
+    """doc_id, text, n_spans, spans (kind:start:end:alias by start, comma-joined).
+
+    The key is the session's setting PII_KEY; without it the published DEMO_KEY, which protects nothing and only makes results repeatable.
+    """
+    out = pseudonyms(table(spark, sf_dir, "documents"), (spark.conf.get(PII_KEY, None) or DEMO_KEY).encode())
     span = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["alias"]))
     return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), F.array_join(span, ",").alias("spans"))
 
