@@ -16,7 +16,7 @@ from strataspan.llm.common import checkpointed, fresh, slices, small_batches
 #: Characters of a q-gram, and edits allowed for each character of an item.
 Q, EDITS = 10, 0.08
 #: Characters that one vectorised step takes, and pairs of text and item places that are counted at once.
-STEP, PAIRS = 1 << 18, 1 << 22
+STEP, PAIRS = 1 << 18, 1 << 19
 #: Characters of the items that one index holds; a larger benchmark is sought in parts, one pass over the texts each.
 PART_CHARS = 8_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -262,25 +262,51 @@ def parts(items: Iterable[tuple[int, str]], most: int) -> Iterator[list[tuple[in
         yield held
 
 
-def _seek(docs: DataFrame, ix: Index, name: str) -> DataFrame:
-    """The rows with what the index finds in column `text`, after what column `name` holds already."""
+def _seek(docs: DataFrame, ix: Index, name: str, cutting: bool = False) -> DataFrame:
+    """The rows with what the index finds in column `text`, after what column `name` holds already; or if `cutting`, without that column, and with the
+    text and n_chars after the cuts, in the same pass, so that a task needs one Python worker."""
     broadcast = docs.sparkSession.sparkContext.broadcast(ix)
     columns = docs.columns
     at, old = columns.index("text"), columns.index(name) if name in columns else None
+    size = columns.index("n_chars") if "n_chars" in columns else None
     names = [c for c in columns if c != name]
 
     def run(batches):
         for batch in batches:
             for a, b in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), STEP * 4):
                 part = batch.slice(a, b - a)
-                found = find_all(part.column(at).to_pylist(), broadcast.value)
+                texts, out = part.column(at).to_pylist(), list(part.columns)
+                found = find_all(texts, broadcast.value)
                 rows = [[dict(zip(("item_id", "start", "end", "edits"), x, strict=True)) for x in f] for f in found]
                 if old is not None:
                     rows = [sorted(x + y, key=lambda s: (s["start"], s["item_id"])) for x, y in zip(part.column(old).to_pylist(), rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != old] + [pa.array(rows, _SPAN)], [*names, name])
+                dirty = [i for i, r in enumerate(rows) if r] if cutting else []
+                if dirty:
+                    counts = out[size].to_pylist() if size is not None else []
+                    for i in dirty:
+                        texts[i] = cut(texts[i], [(s["start"], s["end"]) for s in rows[i]])
+                        if size is not None:
+                            counts[i] = len(texts[i])
+                    out[at] = pa.array(texts, pa.string())
+                    if size is not None:
+                        out[size] = pa.array(counts, out[size].type)
+                out = [c for i, c in enumerate(out) if i != old]
+                yield pa.RecordBatch.from_arrays(out if cutting else [*out, pa.array(rows, _SPAN)], names if cutting else [*names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` {SPAN}")
+    return docs.mapInArrow(run, kinds if cutting else f"{kinds}, `{name}` {SPAN}")
+
+
+def _sought(docs: DataFrame, benchmark: DataFrame, edits: float, name: str, part_chars: int, cutting: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
+    chosen = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id", "text")
+    rest = parts(((r["item_id"], r["text"]) for r in chosen.toLocalIterator()), part_chars)
+    some, n = next(rest), 0
+    while some is not None:
+        following = next(rest, None)
+        docs = _seek(checkpointed(docs) if n else docs, index(some, edits), name, cutting and following is None)
+        some, n = following, n + 1
+    return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, keep: tuple[str, ...] = (), name: str = "regions", part_chars: int = PART_CHARS) -> DataFrame:
@@ -291,39 +317,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, k
     Q characters match whole lines; repeated items match each. Repeated rows repeat; an empty table gives no rows. Returns `keep`, doc_id, text and, as `name`,
     regions (item_id, start, end in code points, edits; by start).
     """
-    small_batches(docs.sparkSession)
-    out = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    chosen = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id", "text")
-    for n, some in enumerate(parts(((r["item_id"], r["text"]) for r in chosen.toLocalIterator()), part_chars)):
-        out = _seek(checkpointed(out) if n else out, index(some, edits), name)
-    return out
+    return _sought(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), benchmark, edits, name, part_chars, False)
 
 
 def excise(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, part_chars: int = PART_CHARS) -> DataFrame:
     """The documents without the regions that `contamination` finds; n_chars follows. Clean rows stay as they are, and all columns, whatever their names."""
     (name,) = fresh(docs.columns, "regions")
-    found = contamination(docs, benchmark, edits, tuple(docs.columns), name, part_chars).select(*docs.columns, name)
-    schema, at, size = docs.schema, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column(len(schema)).to_pylist()
-            dirty = [i for i, s in enumerate(spans) if s]
-            columns = list(batch.columns[:-1])
-            if dirty:
-                texts = columns[at].to_pylist()
-                for i in dirty:
-                    texts[i] = cut(texts[i], [(s["start"], s["end"]) for s in spans[i]])
-                columns[at] = pa.array(texts, pa.string())
-                if size is not None:
-                    counts = columns[size].to_pylist()
-                    for i in dirty:
-                        counts[i] = len(texts[i])
-                    columns[size] = pa.array(counts, columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, docs_names)
-
-    docs_names = docs.columns
-    return found.mapInArrow(run, schema)
+    return _sought(docs, benchmark, edits, name, part_chars, True)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -20,7 +21,7 @@ K, ELL, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
 #: Leaders that each text is aligned with first, those that share most sketches with it; pairs of one leader that a task aligns.
 LEADERS, PAIRS = 2, 1024
 #: Bins of a text's bag of words; texts of a bucket that a task compares with as many others at once; words of texts that it keeps split.
-BINS, BLOCK, SPLIT = 64, 512, 4_000_000
+BINS, BLOCK, SPLIT = 64, 512, 400_000
 #: Bytes that one vectorised step takes.
 STEP = 1 << 18
 _TO_BLANK = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -249,8 +250,7 @@ def _sketch(batches):
             rows = _sketched(hashes, counts)
             bag = pa.array([x.tobytes() for x in bags(hashes, counts)], pa.binary())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, SKETCHES), pa.int32()), pa.array(rows.ravel()))
-            brief = pa.array([x.tobytes() for x in rows.astype(np.uint16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat, brief, bag], ["doc_id", "digest", "n", "sketch", "brief", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts.astype(np.int32)), flat, bag], ["doc_id", "digest", "n", "sketch", "bag"])
 
 
 def _verify(least: float):
@@ -315,7 +315,7 @@ def candidates(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(n, kind="stable")
     n, of = n[order], group["component"].to_numpy()[order]
     bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint16).reshape(-1, BINS)[order].astype(np.int32)
-    brief = np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint16).reshape(-1, SKETCHES)[order]  # the low bits: equal where sketches are
+    brief = group["brief"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)[order]  # the low bits: equal where sketches are
     block, low, high = group["block"].to_numpy()[order], group["low"][0].as_py(), group["high"][0].as_py()
     most = (n * (1 - least) + 1e-9).astype(np.int64)
     ends = np.searchsorted(n - most, n, "right")  # rows of up to so many words more can link
@@ -390,6 +390,15 @@ def _links(least: float) -> Callable:
     return run
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed; the shuffle files of what led to it go, as nothing refers to them any more."""
+    out = checkpointed(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
 
@@ -398,12 +407,12 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     """digest, class_id, class_digest of every distinct text that is not null: of its class the least doc_id (nulls last), and of that the least digest."""
     small_batches(docs.sparkSession)
     texts = _texts(docs).where(F.col("text").isNotNull())
-    sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, brief binary, bag binary")
-    some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("bag").alias("bag"))
-    nodes = checkpointed(some.withColumn("rep", F.monotonically_increasing_id()))  # a number for each distinct text
+    sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary")
+    some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
+    nodes = _cut(some.withColumn("rep", F.monotonically_increasing_id()))  # a number for each distinct text
     spread = nodes.where("n > 0").select("rep", F.explode("sketch").alias("s"))
     buckets = spread.groupBy("s").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = checkpointed(spread.join(buckets.select("s", "leader"), "s").select("s", "rep", "leader"))
+    members = _cut(spread.join(buckets.select("s", "leader"), "s").select("s", "rep", "leader"))
 
     # Pairs with the leaders of the buckets that a text is in: excluded by lengths and bags of words, or aligned.
     facts = nodes.select("rep", "n", "bag")
@@ -412,33 +421,34 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     tried = shared.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LEADERS).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     tried = tried.join(facts.toDF("a", "n_a", "bag_a"), "a").join(facts.toDF("b", "n_b", "bag_b"), "b")
     fits = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
-    tried = checkpointed(tried.where(fits).select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(_possible(least), "a long, b long"))
+    tried = _cut(tried.where(fits).select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(_possible(least), "a long, b long"))
     # A leader of many pairs stands in several copies, so that no task aligns all of them.
     asked = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("salts"))
     needed = members.select("rep").distinct()
     wanted = nodes.join(needed, "rep", "left_semi").select("rep", F.col("doc_id").alias("of"), "digest")
     known = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(F.col("of"))).select("rep", "text")
-    known = checkpointed(known.dropDuplicates(["rep"]))
+    known = _cut(known.dropDuplicates(["rep"]))
     leaders = known.toDF("a", "text_a").join(asked, "a").select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text_a")
     salted = tried.join(asked, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     told = salted.join(known.toDF("b", "text_b"), "b").join(leaders.drop("salts"), ["a", "salt"])
-    edges = checkpointed(told.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
+    edges = _cut(told.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
     labels = components(edges)
 
     # Buckets that hold several components, gathered by the least of them: a family meets as a whole, so a text goes there once, not with each sketch.
     in_one = members.select("s", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", F.coalesce("label", "rep").alias("component"))
     mixed = in_one.groupBy("s").agg(F.min("component").alias("family"), F.max("component").alias("other")).where("family < other").select("s", "family")
-    family = checkpointed(in_one.join(mixed, "s").select("family", "rep", "component").distinct())
+    family = _cut(in_one.join(mixed, "s").select("family", "rep", "component").distinct())
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = family.join(sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
-    schema = "family long, low int, high int, rep long, component long, block int, n int, brief binary, bag binary"
+    schema = "family long, low int, high int, rep long, component long, block int, n int, brief array<short>, bag binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    ready = dealt.join(nodes.drop("digest", "doc_id", "sketch"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
-    rest = checkpointed(ready.mapInArrow(_involved(least), schema))
+    brief = F.transform("sketch", lambda x: x.bitwiseAND(F.lit(32767)).cast("short"))
+    ready = dealt.join(nodes.select("rep", "n", brief.alias("brief"), "bag"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    rest = _cut(ready.mapInArrow(_involved(least), schema))
     with_text = rest.join(known, "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    more = checkpointed(with_text.mapInArrow(_links(least), "a long, b long"))
+    more = _cut(with_text.mapInArrow(_links(least), "a long, b long"))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     labelled = nodes.select("rep", "digest", "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
@@ -472,9 +482,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class: the one with the least doc_id, and of equal rows any one. Rows with null texts all stay. All columns stay, whatever their names."""
-    digest, order, of, of_digest = fresh([*docs.columns, "class_id", "class_digest"], "digest", "order", "of", "of_digest")
-    kept = _classes(docs, least).select(F.col("class_id").alias(of), F.col("class_digest").alias(of_digest)).distinct()
-    rows = docs.withColumn(digest, F.unhex(F.md5(F.col("text").cast("binary"))))
-    found = rows.join(kept, (F.col(digest) == F.col(of_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of)))
-    one = found.withColumn(order, F.row_number().over(Window.partitionBy(digest, "doc_id").orderBy(F.lit(0)))).where(F.col(order) == 1)
+    key, order = fresh([*docs.columns, "class_id", "class_digest"], "key", "order")
+
+    def keyed(digest, doc_id):
+        return F.concat(digest, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")).cast("binary"))  # never null, so one shuffle does for both steps
+
+    kept = _cut(_classes(docs, least).where(F.col("digest") == F.col("class_digest")).select(keyed(F.col("class_digest"), F.col("class_id")).alias(key)))
+    rows = docs.withColumn(key, keyed(F.unhex(F.md5(F.col("text").cast("binary"))), F.col("doc_id").cast("long")))
+    found = rows.where(F.col("text").isNotNull()).join(kept, key)
+    one = found.withColumn(order, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(order) == 1)
     return one.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))

@@ -54,8 +54,8 @@ class Pieces:
         self.longest = max(map(len, self.id), default=1)
         # where this holds, no piece goes over a place between another character and a space mark
         self.resets = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.apart = lru_cache(1 << 18)(self._apart)
-        self.canonical = lru_cache(1 << 18)(lambda p: self.merge(p) == [p])
+        self.apart = lru_cache(1 << 15)(self._apart)
+        self.canonical = lru_cache(1 << 15)(lambda p: self.merge(p) == [p])
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE: join the best-scored neighbours, the leftmost of equals, until none can be joined."""
