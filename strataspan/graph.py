@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ class Graph:
     """A snapshot of the tables; a write replaces a table by the next one. has_voids False says that no row is void, which spares
     interval reads the search for void spans."""
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, rels: DataFrame | None = None, now: int | None = None, has_voids: bool = True) -> None:
+    def __init__(self, spark: SparkSession, nodes: DataFrame, rels: DataFrame | Callable[[], DataFrame] | None = None, now: int | None = None, has_voids: bool = True) -> None:
         self.spark = spark
         self.node_versions = nodes
-        self.rel_versions = rels if rels is not None else nodes.drop("labels").withColumns({"type": F.lit(""), "start_id": F.lit(0).cast("bigint"), "end_id": F.lit(0).cast("bigint")}).where(F.lit(False))
+        self._rels = rels
         self.has_voids = has_voids
         self.tags: dict[str, int] = {}
         self.indexes = Indexes()
@@ -31,6 +33,20 @@ class Graph:
         self.nodes, self.rels = Entities(self, "node"), Rels(self)
         self.temporal, self.stats = Temporal(self), Stats(self)
 
+    @property
+    def rel_versions(self) -> DataFrame:
+        """The relationships; made when they are first asked for, where the graph was given a function."""
+        if callable(self._rels):
+            self._rels = self._rels()
+        if self._rels is None:
+            ends = {"type": F.lit(""), "start_id": F.lit(0).cast("bigint"), "end_id": F.lit(0).cast("bigint")}
+            self._rels = self.node_versions.drop("labels").withColumns(ends).where(F.lit(False))
+        return self._rels
+
+    @rel_versions.setter
+    def rel_versions(self, rels: DataFrame) -> None:
+        self._rels = rels
+
     @property
     def now(self) -> int:
         """The clock: the last transaction instant, at least the latest in the tables."""
@@ -53,22 +69,40 @@ class Graph:
     def write(self, op, changes_: DataFrame, tx: int | None = None, kind: str = "node", **more) -> None:
         """Apply one of the writes of `operators.writes` to a table at the next (or the given) transaction instant."""
         name = f"{kind}_versions"
+        before = self._now, self.epoch
         stamp = self._tick(tx)
+        try:
+            after = op(getattr(self, name), changes_, stamp, **more)
+            rels = writes.cascade(self.rel_versions, changes_, stamp, **more) if kind == "node" and op is writes.delete else None
+        except Exception:
+            self._now, self.epoch = before  # a refused write leaves the clock as it was
+            raise
         if op is writes.excise:
             self.has_voids = True
-        setattr(self, name, op(getattr(self, name), changes_, stamp, **more))
-        if kind == "node" and op is writes.delete:
-            self.rel_versions = writes.cascade(self.rel_versions, changes_, stamp, **more)
+        setattr(self, name, after)
+        if rels is not None:
+            self.rel_versions = rels
+
+    def compare_and_set(self, id_: int, key: str, expected, value=None, tx: int | None = None, kind: str = "node") -> bool:
+        """Set or (value None) delete a property of a current row if it has the expected value (None: if it is absent); whether it was done."""
+        name = f"{kind}_versions"
+        before = self._now, self.epoch
+        after, done = writes.compare_and_set(getattr(self, name), id_, key, expected, value, self._tick(tx))
+        if done:
+            setattr(self, name, after)
+        else:
+            self._now, self.epoch = before
+        return done
 
     def batch(self, ops: list[tuple], tx: int | None = None) -> None:
         """Several writes, each (op, changes, kind), at ascending instants; all or none become the graph's tables."""
-        before = (self.node_versions, self.rel_versions, self._now, self.epoch, self.has_voids)
+        before = (self.node_versions, self._rels, self._now, self.epoch, self.has_voids)
         try:
             for op, changed, kind in ops:
                 self.write(op, changed, tx, kind)
                 tx = None if tx is None else tx + 1
         except Exception:
-            self.node_versions, self.rel_versions, self._now, self.epoch, self.has_voids = before
+            self.node_versions, self._rels, self._now, self.epoch, self.has_voids = before
             raise
 
     def add_rels(self, new: DataFrame, tx: int | None = None) -> None:
@@ -96,7 +130,7 @@ class Graph:
 
     @classmethod
     def star(cls, spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> Graph:
-        rels = fixtures.star_rels(spark, sf_dir, types) if types else fixtures.star_rels(spark, sf_dir)
+        rels = lambda: fixtures.star_rels(spark, sf_dir, types) if types else fixtures.star_rels(spark, sf_dir)
         return cls(spark, fixtures.star_nodes(spark, sf_dir), rels, now=2_000_000_000_000, has_voids=False)
 
     @classmethod

@@ -33,12 +33,18 @@ def lowest_answered_pins(ids: DataFrame, stubs: DataFrame) -> DataFrame:
 
 
 def purge_expired(nodes: DataFrame, rels: DataFrame, label: str, ended_before: int) -> tuple[DataFrame, DataFrame]:
-    """Remove nodes of the label whose every validity ended before an instant, with their history and all their relationships."""
-    by_id = nodes.groupBy("id").agg(F.max("e").alias("last"), F.max(F.array_contains("labels", label)).alias("member"))
-    gone = by_id.where(F.col("member") & (F.col("last") < ended_before)).select("id")
+    """Remove nodes of the label whose newest version ended before an instant, with their history and all their relationships. Ends of superseded rows don't count."""
+    newest = nodes.where("not void").groupBy("id").agg(F.max_by(F.struct("e", F.array_contains("labels", label).alias("member")), "version").alias("t"))
+    gone = newest.where(F.col("t.member") & (F.col("t.e") < ended_before)).select("id")
     return nodes.join(gone, "id", "left_anti"), without_ends(rels, gone)
 
 
+def purge_expired_rels(rels: DataFrame, type_name: str, ended_before: int) -> DataFrame:
+    """The relationships without those of the type whose newest version ended before an instant, with their history."""
+    newest = rels.where((F.col("type") == type_name) & ~F.col("void")).groupBy("id").agg(F.max_by("e", "version").alias("e"))
+    return rels.join(newest.where(F.col("e") < ended_before).select("id"), "id", "left_anti")
+
+
 def without_ends(rels: DataFrame, gone: DataFrame) -> DataFrame:
     for end in ("start_id", "end_id"):
         rels = rels.join(gone.select(F.col("id").alias(end)), end, "left_anti")

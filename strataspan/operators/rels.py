@@ -58,10 +58,12 @@ class Rels(Entities):
         )  # one row each
 
     def masked(self, rels: DataFrame, t: int, pin: int = 0) -> DataFrame:
-        """The relationships whose ends are both valid at t."""
+        """The relationships whose ends are both valid at t; an end in another graph (see `sessions.add_half_edges`) is not asked about."""
         nodes = K.at(self.graph.node_versions, t, pin).select("id")
-        for end in ("start_id", "end_id"):
-            rels = rels.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+        for side in ("start", "end"):
+            foreign = F.coalesce(F.col("props")[f"{side}_foreign"].isNotNull(), F.lit(False))
+            live = nodes.select(F.col("id").alias("_live"))
+            rels = rels.join(live, F.col(f"{side}_id") == F.col("_live"), "left").where(foreign | F.col("_live").isNotNull()).drop("_live")
         return rels
 
     def effective_at(self, t: int, pin: int = 0) -> DataFrame:

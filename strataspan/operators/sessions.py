@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataspan.errors import ConstraintViolation, UniqueViolation
 from strataspan.functions.calendar import EPOCH_2026
+from strataspan.plans.lineage import checkpointed
 from strataspan.operators import constraints, writes
 
 
@@ -73,10 +74,11 @@ class Session:
 
     def submit(self) -> int:
         with self._lock:
-            ops, self.queue = self.queue, []
+            ops = list(self.queue)
             with Transaction(self.graph) as tx:
                 for op, changes, kind in ops:
                     tx.write(op, changes, kind)
+            del self.queue[: len(ops)]  # what fails stays queued
             self.applied += 1
             return self.applied
 
@@ -104,9 +106,19 @@ class IdMinter:
             return t << 15 | self.node << 10 | self._step
 
     def column(self, df: DataFrame, name: str = "id") -> DataFrame:
-        """df with a minted id a row: one reserved microsecond a row of each partition, so executors need not ask the driver."""
-        base = self.next_id() >> 15
-        return df.withColumn(name, F.shiftleft(F.lit(base).cast("bigint") + F.monotonically_increasing_id() % (1 << 33) + F.spark_partition_id().cast("bigint") * (1 << 22), 15) + self.node * 1024)
+        """df with a minted id a row, from a reserved block of one microsecond a row: rows are numbered exactly, by their partitions' sizes, and later ids come after the block."""
+        row = "_minted"
+        held = checkpointed(df.withColumn(row, F.monotonically_increasing_id()))
+        sizes = {r["p"]: r["n"] for r in held.groupBy(F.shiftright(row, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+        offsets, total = [], 0
+        for p in range(max(sizes, default=0) + 1):
+            offsets.append(total)
+            total += sizes.get(p, 0)
+        with self._lock:
+            base = max(self.clock() - EPOCH_2026 * 1000, self._last + 1)
+            self._last, self._step = base + total, 0
+        number = F.array(*[F.lit(o).cast("bigint") for o in offsets])[F.shiftright(row, 33).cast("int")] + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+        return held.withColumn(name, F.shiftleft(F.lit(base).cast("bigint") + number, 15) + self.node * 1024).drop(row)
 
 
 @dataclass

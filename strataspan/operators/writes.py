@@ -6,10 +6,10 @@ The graph's clock gives each write one transaction instant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspan.errors import GraphError, InvalidTimeRange, NothingToExcise
+from strataspan.errors import GraphError, InvalidTimeRange, NotFound, NothingToExcise
 from strataspan.functions import values as V
 from strataspan.plans import kernels as K
 from strataspan.plans.lineage import checkpointed
@@ -30,7 +30,7 @@ def add_if_absent(v: DataFrame, new: DataFrame, tx: int) -> DataFrame:
     return add(v, new.join(v.where("is_current").select("id"), "id", "left_anti"), tx)
 
 
-def get_or_create(v: DataFrame, new: DataFrame, label: str, key: str, tx: int) -> DataFrame:
+def get_or_create(v: DataFrame, new: DataFrame, tx: int, label: str, key: str) -> DataFrame:
     """`add` of the nodes whose value under key no current node of the label holds; of equal new ones the least id counts."""
     k = V.eqkey(F.col("props")[key])
     held = v.where("is_current").where(F.array_contains("labels", label)).select(k.alias("_k")).distinct()
@@ -39,20 +39,32 @@ def get_or_create(v: DataFrame, new: DataFrame, label: str, key: str, tx: int) -
     return add(v, fresh.join(first, ["_k", "id"], "left_semi").drop("_k"), tx)
 
 
-def _supersede(v: DataFrame, ids: DataFrame, tx: int) -> DataFrame:
-    """v where the current rows of ids are superseded at tx."""
-    held = v.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
-    hit = F.col("_hit").isNotNull() & F.col("is_current")
-    return held.withColumn("tx_to", F.when(hit, F.lit(tx)).otherwise(F.col("tx_to"))).withColumn("is_current", F.col("is_current") & ~hit).drop("_hit")
+def _checked(v: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes; refused if an id has no current row, or two changes."""
+    held = v.where("is_current").select("id").withColumn("_held", F.lit(True))
+    bad = changes.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).join(held, "id", "left").where(F.col("_held").isNull() | (F.col("_n") > 1)).first()
+    if bad is not None:
+        if bad["_held"] is None:
+            raise NotFound(bad["id"])
+        raise GraphError(f"{bad['id']} has {bad['_n']} changes in one write")
+    return changes
+
 
+def _advance(v: DataFrame, changes: DataFrame, tx: int, **columns: Column) -> DataFrame:
+    """v with a new current version of each changed id, and its current row superseded at tx.
 
-def _next(v: DataFrame, changes: DataFrame, tx: int, **columns: Column) -> DataFrame:
-    """New current versions, made from the current rows joined with changes, numbered above all versions of their chains."""
-    touched = v.join(changes.select("id"), "id", "left_semi")
-    last = touched.groupBy("id").agg(F.max("version").alias("_last"), F.max("tx_from").alias("_tx"))
-    current = touched.where("is_current").join(changes, "id").join(last, "id")
-    rows = current.withColumns({"version": (F.col("_last") + 1).cast("int"), "tx_from": F.lit(tx).cast("bigint"), "tx_to": F.lit(0).cast("bigint"), "is_current": F.lit(True), **columns})
-    return rows.select(*v.columns)
+    The table is read once: it meets the changes by id, each current row that has one is copied, and the copy takes the new columns (made from the
+    current row and the change) and the number above all versions of its chain.
+    """
+    more = [c for c in changes.columns if c != "id"]
+    change = _checked(v, changes).select("id", F.struct(F.lit(True).alias("_hit"), *more).alias("_change"))
+    hit = F.col("_change").isNotNull() & F.col("is_current")
+    held = v.join(change, "id", "left").withColumn("_last", F.max("version").over(Window.partitionBy("id")))
+    both = held.withColumn("_new", F.explode(F.when(hit, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    new = {"version": (F.col("_last") + 1).cast("int"), "tx_from": F.lit(tx).cast("bigint"), "tx_to": F.lit(0).cast("bigint"), "is_current": F.lit(True), **columns}
+    old = {"tx_to": F.when(hit, F.lit(tx).cast("bigint")).otherwise(F.col("tx_to")), "is_current": F.col("is_current") & ~hit}
+    wide = both.select("*", *(F.col(f"_change.{c}").alias(c) for c in more))
+    return wide.select(*(F.when(F.col("_new"), new.get(c, F.col(c))).otherwise(old.get(c, F.col(c))).alias(c) for c in v.columns))
 
 
 def patched(base: Column, patch: Column) -> Column:
@@ -64,27 +76,29 @@ def patched(base: Column, patch: Column) -> Column:
 def update(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
     """changes: id, patch (properties), and optionally valid_from, the new version's start (else tx)."""
     start = F.col("valid_from") if "valid_from" in changes.columns else F.lit(tx).cast("bigint")
-    new = _next(v, changes, tx, props=patched(F.col("props"), F.col("patch")), s=start, e=F.lit(V.INF))
-    return _supersede(v, changes, tx).unionByName(new)
+    return _advance(v, changes, tx, props=patched(F.col("props"), F.col("patch")), s=start, e=F.lit(V.INF))
 
 
-def update_in_place(v: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rewrite current properties without a version."""
-    rows = v.join(changes.select("id", "patch"), "id", "left")
+def update_in_place(v: DataFrame, changes: DataFrame, tx: int | None = None) -> DataFrame:
+    """Rewrite current properties without a version; tx is not recorded."""
+    rows = v.join(_checked(v, changes).select("id", "patch"), "id", "left")
     hit = F.col("is_current") & F.col("patch").isNotNull()
     return rows.withColumn("props", F.when(hit, patched(F.col("props"), F.col("patch"))).otherwise(F.col("props"))).select(*v.columns)
 
 
 def replace_version(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
     """changes: id, new_props, valid_from, valid_to: a new version of its own interval."""
-    new = _next(v, changes, tx, props=F.col("new_props"), s=F.col("valid_from"), e=F.col("valid_to"))
-    return _supersede(v, changes, tx).unionByName(new)
+    if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
+        raise InvalidTimeRange("an interval must not be empty")
+    return _advance(v, changes, tx, props=F.col("new_props"), s=F.col("valid_from"), e=F.col("valid_to"))
 
 
 def close_version(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
     """changes: id, at: a new version with the current one's start, ending at `at`."""
-    new = _next(v, changes, tx, e=F.col("at").cast("bigint"))
-    return _supersede(v, changes, tx).unionByName(new)
+    outside = (F.col("at") <= F.col("s")) | (F.col("at") > F.col("e"))
+    if not v.where("is_current").select("id", "s", "e").join(changes.select("id", "at"), "id").where(outside).isEmpty():
+        raise InvalidTimeRange("a version is closed inside its interval")
+    return _advance(v, changes, tx, e=F.col("at").cast("bigint"))
 
 
 def compare_and_set(v: DataFrame, id_: int, key: str, expected, patch_value: Column | None, tx: int) -> tuple[DataFrame, bool]:
@@ -108,12 +122,12 @@ def set_labels(v: DataFrame, ids: DataFrame, tx: int, add_label: str | None = No
             from strataspan.errors import LastLabel
 
             raise LastLabel(remove_label)
-    new = _next(v, ids.select("id"), tx, labels=labels, s=F.lit(tx).cast("bigint"), e=F.lit(V.INF))
-    return _supersede(v, ids, tx).unionByName(new)
+    return _advance(v, ids.select("id"), tx, labels=labels, s=F.lit(tx).cast("bigint"), e=F.lit(V.INF))
 
 
 def delete(v: DataFrame, ids: DataFrame, tx: int, retract: bool = False) -> DataFrame:
-    """Make the current rows tombstones: an open or later end becomes tx. Retracted lives vanish at pins from tx on."""
+    """Make the current rows tombstones: an open or later end becomes tx. Retracted lives vanish at pins from tx on. An id without a current row is refused."""
+    _checked(v, ids.select("id").distinct())
     held = v.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
     hit = F.col("_hit").isNotNull() & F.col("is_current")
     end = F.when(hit & (F.col("e") > tx), F.lit(tx)).otherwise(F.col("e"))
@@ -145,6 +159,10 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
     """
     if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
         raise InvalidTimeRange("an interval must not be empty")
+    if not changes.groupBy("id").count().where("count > 1").isEmpty():
+        raise GraphError("a write corrects one interval of an id; write the next one after it")
+    if not changes.select("id").join(v.select("id"), "id", "left_anti").isEmpty():
+        raise NotFound("an id that is corrected")
     wide = changes.select("id", F.col("valid_from").alias("_a"), F.col("valid_to").alias("_b"), *(["patch"] if "patch" in changes.columns else []))
     # only the chains that are corrected, materialised as every step below reads them
     touched = checkpointed(v.join(wide.select("id"), "id", "left_semi"))

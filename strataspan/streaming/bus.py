@@ -43,7 +43,7 @@ class AsyncEventBus(EventBus):
         super().__init__()
         if full not in ("block", "drop_oldest", "drop_latest"):
             raise ValueError(full)
-        self.full, self.dropped, self._queue = full, 0, queue.Queue(size)
+        self.full, self.dropped, self.failed, self._queue = full, 0, [], queue.Queue(size)
         threading.Thread(target=self._run, daemon=True).start()
 
     def _run(self) -> None:
@@ -51,6 +51,8 @@ class AsyncEventBus(EventBus):
             log = self._queue.get()
             try:
                 super().publish(log)
+            except Exception as e:  # a handler's fault ends neither the worker nor `drain`
+                self.failed.append(e)
             finally:
                 self._queue.task_done()
 

@@ -8,7 +8,7 @@ from strataspan.functions import allen as A
 from strataspan.functions import calendar as C
 from strataspan.functions import values as V
 from strataspan.graph import Graph
-from strataspan.operators import admin, integrity, writes
+from strataspan.operators import admin, integrity, sessions, writes
 from strataspan.plans import kernels as K
 from strataspan.plans.opts import QueryOpts
 from strataspan.sources import changes, fixtures
@@ -101,7 +101,7 @@ def test_reimport_continues_the_chain(graph, spark):
 
 def test_get_or_create_and_absent(graph, spark):
     new = spark.createDataFrame([(50, "p1"), (51, "q"), (52, "q")], "id long, name string").select("id", F.array(F.lit("Person")).alias("labels"), V.props(name=V.text(F.col("name"))).alias("props"))
-    after = writes.get_or_create(graph.node_versions, new, "Person", "name", 3000)
+    after = writes.get_or_create(graph.node_versions, new, 3000, "Person", "name")
     assert sorted(r["id"] for r in after.where("id >= 50").collect()) == [51]
     assert writes.add_if_absent(graph.node_versions, people(spark).select("id", "labels", "props"), 3000).count() == 5
 
@@ -246,3 +246,35 @@ def test_plan_shuffles_once(spark, sf, tmp_path):
     assert "Join" not in plan
     plan = K.segments(spark.read.parquet(f"{tmp_path}/v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_writes_refuse_what_they_cannot_apply(graph, spark):
+    patch = V.props(age=V.integer(F.lit(7)))
+    changes = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long").withColumn("patch", patch)
+    now = graph.now
+    with pytest.raises(errors.NotFound):
+        graph.write(writes.update, changes([3, 987654]))
+    with pytest.raises(errors.GraphError):
+        graph.write(writes.update, changes([3, 3]))
+    with pytest.raises(errors.NotFound):
+        graph.write(writes.delete, changes([987654]).select("id"))
+    assert graph.now == now
+    graph.write(writes.update_in_place, changes([3]))
+    assert graph.compare_and_set(3, "age", 7, V.integer(F.lit(8))) and not graph.compare_and_set(3, "age", 7, V.integer(F.lit(9)))
+
+
+def test_plans_of_many_writes_are_linear(graph, spark):
+    start = writes.add(graph.node_versions, spark.createDataFrame([(424242, ["Person"])], "id long, labels array<string>").withColumn("props", V.props(age=V.integer(F.lit(0)))), graph.now + 1)
+    v, scans = start.cache(), []
+    for i in range(4):
+        v = writes.update(v, spark.createDataFrame([(424242,)], "id long").withColumn("patch", V.props(age=V.integer(F.lit(i)))), graph.now + 2 + i)
+        scans.append(v._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation"))
+    assert scans == [1, 1, 1, 1] and v.where("id = 424242").count() == 5 and v.where("id = 424242 and is_current").first()["version"] == 4
+
+
+def test_minted_ids_of_large_partitions_differ(spark):
+    minter = sessions.IdMinter(node=3)
+    df = spark.range(0, 300_000, 1, 3).select("id")
+    a, b = minter.column(df, "x"), minter.column(df, "x")
+    both = a.select("x").union(b.select("x"))
+    assert both.distinct().count() == 600_000 and a.agg(F.max("x")).first()[0] < b.agg(F.min("x")).first()[0] < minter.next_id()
