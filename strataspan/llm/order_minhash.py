@@ -406,54 +406,55 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     """digest, class_id, class_digest of every distinct text that is not null: of its class the least doc_id (nulls last), and of that the least digest."""
     small_batches(docs.sparkSession)
+    # What the joins below bring together grows with the input, so none is broadcast through the driver.
     texts = _texts(docs).where(F.col("text").isNotNull())
     sketched = texts.select("doc_id", "text", "digest").mapInArrow(_sketch, "doc_id long, digest binary, n int, sketch array<long>, bag binary")
     some = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
     nodes = _cut(some.withColumn("rep", F.monotonically_increasing_id()))  # a number for each distinct text
     spread = nodes.where("n > 0").select("rep", F.explode("sketch").alias("s"))
     buckets = spread.groupBy("s").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = _cut(spread.join(buckets.select("s", "leader"), "s").select("s", "rep", "leader"))
+    members = _cut(spread.join(buckets.select("s", "leader").hint("merge"), "s").select("s", "rep", "leader"))
 
     # Pairs with the leaders of the buckets that a text is in: excluded by lengths and bags of words, or aligned.
     facts = nodes.select("rep", "n", "bag")
     shared = members.where(F.col("rep") != F.col("leader")).groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("m"))
     nearest = Window.partitionBy("rep").orderBy(F.desc("m"), "leader")
     tried = shared.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= LEADERS).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    tried = tried.join(facts.toDF("a", "n_a", "bag_a"), "a").join(facts.toDF("b", "n_b", "bag_b"), "b")
+    tried = tried.join(facts.toDF("a", "n_a", "bag_a").hint("merge"), "a").join(facts.toDF("b", "n_b", "bag_b").hint("merge"), "b")
     fits = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
     tried = _cut(tried.where(fits).select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(_possible(least), "a long, b long"))
     # A leader of many pairs stands in several copies, so that no task aligns all of them.
     asked = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("salts"))
     needed = members.select("rep").distinct()
-    wanted = nodes.join(needed, "rep", "left_semi").select("rep", F.col("doc_id").alias("of"), "digest")
-    known = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(F.col("of"))).select("rep", "text")
+    wanted = nodes.join(needed.hint("merge"), "rep", "left_semi").select("rep", F.col("doc_id").alias("of"), "digest")
+    known = texts.join(wanted.hint("merge"), (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(F.col("of"))).select("rep", "text")
     known = _cut(known.dropDuplicates(["rep"]))
-    leaders = known.toDF("a", "text_a").join(asked, "a").select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text_a")
-    salted = tried.join(asked, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    told = salted.join(known.toDF("b", "text_b"), "b").join(leaders.drop("salts"), ["a", "salt"])
+    leaders = known.toDF("a", "text_a").join(asked.hint("merge"), "a").select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text_a")
+    salted = tried.join(asked.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    told = salted.join(known.toDF("b", "text_b").hint("merge"), "b").join(leaders.drop("salts").hint("merge"), ["a", "salt"])
     edges = _cut(told.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
     labels = components(edges)
 
     # Buckets that hold several components, gathered by the least of them: a family meets as a whole, so a text goes there once, not with each sketch.
-    in_one = members.select("s", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", F.coalesce("label", "rep").alias("component"))
+    in_one = members.select("s", "rep").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s", "rep", F.coalesce("label", "rep").alias("component"))
     mixed = in_one.groupBy("s").agg(F.min("component").alias("family"), F.max("component").alias("other")).where("family < other").select("s", "family")
-    family = _cut(in_one.join(mixed, "s").select("family", "rep", "component").distinct())
+    family = _cut(in_one.join(mixed.hint("merge"), "s").select("family", "rep", "component").distinct())
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = family.join(sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = family.join(sizes.hint("merge"), "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
     schema = "family long, low int, high int, rep long, component long, block int, n int, brief array<short>, bag binary"
     names = [x.split()[0] for x in schema.split(", ")]
     brief = F.transform("sketch", lambda x: x.bitwiseAND(F.lit(32767)).cast("short"))
     ready = dealt.join(nodes.select("rep", "n", brief.alias("brief"), "bag"), "rep").select(*names).repartition(*_KEY).sortWithinPartitions(*_KEY)
     rest = _cut(ready.mapInArrow(_involved(least), schema))
-    with_text = rest.join(known, "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
+    with_text = rest.join(known.hint("merge"), "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
     more = _cut(with_text.mapInArrow(_links(least), "a long, b long"))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    labelled = nodes.select("rep", "digest", "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
+    labelled = nodes.select("rep", "digest", "doc_id").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
-    return labelled.join(first, "label").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("class_digest"))
+    return labelled.join(first.hint("merge"), "label").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("class_digest"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
