@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspan.errors import InvalidTimeRange
+
 MILLIS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 UNITS = (*MILLIS, "week", "month", "quarter", "year")
 #: Instants outside these bounds (the sentinels among them) have no calendar; they stay as they are.
@@ -64,18 +66,15 @@ def decompose_id(c: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Recurrence:
-    """Occurrences of `duration` milliseconds that start at `time` of each chosen day in [first, last].
+    """Occurrences from `start` to `end` (milliseconds of the UTC day, the end exclusive) on each chosen day.
 
-    kind daily, weekly (weekdays: 0 Monday .. 6 Sunday), monthly (month_day; -1: the last) or yearly (month, month_day); every: each
-    n-th day, week, month or year from the first. A month without the day has no occurrence.
+    kind daily or weekly: the days in `weekdays` (0 Monday .. 6 Sunday); monthly: month_day; yearly: month and month_day. month_day is
+    1 to 28, or 0 for the last day of the month.
     """
 
     kind: str
-    first: int
-    last: int
-    time: int = 0
-    duration: int = 3_600_000
-    every: int = 1
+    start: int = 0
+    end: int = MILLIS["day"]
     weekdays: tuple[int, ...] = ()
     month: int = 1
     month_day: int = 1
@@ -83,28 +82,34 @@ class Recurrence:
     def validate(self) -> None:
         if self.kind not in ("daily", "weekly", "monthly", "yearly"):
             raise ValueError(f"kind {self.kind!r}")
-        if self.every < 1 or self.duration < 1 or self.first > self.last or not 0 <= self.time < MILLIS["day"]:
-            raise ValueError("every and duration must be positive, first at most last, time within a day")
-        if self.kind == "weekly" and (not self.weekdays or not all(0 <= d <= 6 for d in self.weekdays)):
-            raise ValueError("a weekly pattern needs weekdays from 0 to 6")
-        if self.kind in ("monthly", "yearly") and not (self.month_day == -1 or 1 <= self.month_day <= 31) or not 1 <= self.month <= 12:
-            raise ValueError("month_day must be -1 or 1 to 31, month 1 to 12")
-
-
-def expand(spark, pattern: Recurrence) -> DataFrame:
-    """start, end of each occurrence that begins in [first, last], ascending: days are generated and filtered on the executors."""
+        if not 0 <= self.start < self.end <= MILLIS["day"]:
+            raise ValueError("start and end are ascending times of one day")
+        if self.kind in ("daily", "weekly") and (not self.weekdays or not all(0 <= d <= 6 for d in self.weekdays)):
+            raise ValueError("a daily or weekly pattern needs weekdays from 0 to 6")
+        if self.kind in ("monthly", "yearly") and not 0 <= self.month_day <= 28:
+            raise ValueError("month_day is 1 to 28, or 0 for the last day")
+        if self.kind == "yearly" and not 1 <= self.month <= 12:
+            raise ValueError("month is 1 to 12")
+
+
+#: Fixed value: the longest span that is expanded, in milliseconds (1000 years of 365 days).
+MAX_SPAN = 1000 * 365 * MILLIS["day"]
+
+
+def expand(spark, pattern: Recurrence, a: int, b: int) -> DataFrame:
+    """start, end of the occurrences in [a, b), clipped to it; one that began before a counts from a. Days are generated and chosen on
+    the executors."""
+    if a >= b:
+        raise InvalidTimeRange(f"[{a}, {b})")
+    if b - a > MAX_SPAN:
+        raise InvalidTimeRange(f"[{a}, {b}) is longer than {MAX_SPAN} ms")
     pattern.validate()
-    day0 = pattern.first // MILLIS["day"]
-    days = spark.range(day0, pattern.last // MILLIS["day"] + 1).select(F.col("id").alias("day"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
-    origin = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(day0).cast("int"))
-    due = F.when(F.lit(pattern.month_day) == -1, F.last_day("date")).otherwise(F.date_add(F.trunc("date", "month"), pattern.month_day - 1))
-    months = (F.year("date") - F.year(origin)) * 12 + F.month("date") - F.month(origin)
-    weeks = F.datediff(F.trunc("date", "week"), F.trunc(origin, "week")) / 7
-    chosen = {
-        "daily": (F.col("day") - day0) % pattern.every == 0,
-        "weekly": F.weekday("date").isin(*pattern.weekdays) & (weeks % pattern.every == 0),
-        "monthly": (F.col("date") == due) & (months % pattern.every == 0),
-        "yearly": (F.col("date") == due) & (F.month("date") == pattern.month) & ((F.year("date") - F.year(origin)) % pattern.every == 0),
-    }[pattern.kind]
-    start = F.col("day") * MILLIS["day"] + pattern.time
-    return days.where(chosen).select(start.alias("start"), (start + pattern.duration).alias("end")).where(F.col("start").between(pattern.first, pattern.last))
+    day = MILLIS["day"]
+    days = spark.range(a // day, b // day + 1).select(F.col("id").alias("day"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    due = F.last_day("date") if pattern.month_day == 0 else F.date_add(F.trunc("date", "month"), pattern.month_day - 1)
+    chosen = F.weekday("date").isin(*pattern.weekdays) if pattern.kind in ("daily", "weekly") else F.col("date") == due
+    if pattern.kind == "yearly":
+        chosen = chosen & (F.month("date") == pattern.month)
+    start, end = F.col("day") * day + pattern.start, F.col("day") * day + pattern.end
+    clipped = days.where(chosen).select(F.greatest(start, F.lit(a)).alias("start"), F.least(end, F.lit(b)).alias("end"))
+    return clipped.where(F.col("start") < F.col("end"))

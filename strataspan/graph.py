@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspan.errors import PinTooOld
 from strataspan.operators import admin, constraints, integrity, writes
 from strataspan.operators.entities import Entities
 from strataspan.operators.index import Indexes
@@ -14,6 +15,7 @@ from strataspan.operators.rels import Rels
 from strataspan.operators.stats import Stats
 from strataspan.operators.temporal import Temporal
 from strataspan.plans import kernels as K
+from strataspan.plans.lineage import checkpointed
 from strataspan.sources import changes, fixtures
 
 
@@ -30,6 +32,12 @@ class Graph:
         self.indexes = Indexes()
         self.epoch = 0
         self._now = now
+        #: What was removed for good, by kind: entities whose old pins can't be answered any more (id, low_pin), the highest such pin, and
+        #: the rows that are gone (id, up_to: their highest version, at: the clock then).
+        self.stubs: dict[str, DataFrame] = {}
+        self.watermark = {"node": 0, "rel": 0}
+        self.removed: dict[str, DataFrame] = {}
+        self.applied_lsn = 0  # of a replica
         self.nodes, self.rels = Entities(self, "node"), Rels(self)
         self.temporal, self.stats = Temporal(self), Stats(self)
 
@@ -66,6 +74,54 @@ class Graph:
         self.epoch += 1
         return tx
 
+    def answerable(self, kind: str, pin: int | None, ids: list[int] | None = None) -> None:
+        """Refuse a pin (0 and None: all that is recorded) below what compaction and retention left: a read of given ids by their own lowest pins, any
+        other by the highest of all, rather than answer it in part."""
+        if not pin or pin >= self.watermark[kind]:
+            return
+        stubs = self.stubs.get(kind)
+        if ids is not None and (stubs is None or stubs.where(F.col("id").isin([int(i) for i in ids]) & (F.col("low_pin") > pin)).isEmpty()):
+            return
+        raise PinTooOld(f"pin {pin} is below {self.watermark[kind]}")
+
+    def _trim(self, kind: str, after: DataFrame) -> None:
+        """Go on with `after`, and note the rows that it lacks."""
+        name = f"{kind}_versions"
+        keys = ["id", "version"]
+        gone = getattr(self, name).select(*keys).join(after.select(*keys), keys, "left_anti")
+        gone = checkpointed(gone.groupBy("id").agg(F.max("version").alias("up_to")).withColumn("at", F.lit(self.now).cast("bigint")))
+        self.removed[kind] = gone if kind not in self.removed else self.removed[kind].unionByName(gone)
+        setattr(self, name, after)
+
+    def compact(self, keep_versions: int, keep_since: int, kind: str = "node") -> None:
+        """Trim the oldest versions (`admin.compact`); reads at pins that needed them are refused from then on."""
+        kept, stubs = admin.compact(getattr(self, f"{kind}_versions"), keep_versions, keep_since)
+        found = stubs.select("id", "low_pin")
+        found = found if kind not in self.stubs else found.unionByName(self.stubs[kind]).groupBy("id").agg(F.max("low_pin").alias("low_pin"))
+        found = checkpointed(found)
+        self._trim(kind, kept)
+        self.stubs[kind] = found
+        self.watermark[kind] = max(self.watermark[kind], found.agg(F.max("low_pin")).first()[0] or 0)
+
+    def purge_expired(self, label: str, ended_before: int) -> None:
+        """Remove the label's nodes that ended before an instant, and their relationships; scans at pins below that instant are refused."""
+        nodes, rels = admin.purge_expired(self.node_versions, self.rel_versions, label, ended_before)
+        for kind, after in (("rel", rels), ("node", nodes)):
+            self._trim(kind, after)
+            self.watermark[kind] = max(self.watermark[kind], ended_before)
+
+    def purge_expired_rels(self, type_name: str, ended_before: int) -> None:
+        self._trim("rel", admin.purge_expired_rels(self.rel_versions, type_name, ended_before))
+        self.watermark["rel"] = max(self.watermark["rel"], ended_before)
+
+    def erase(self, ids: DataFrame) -> DataFrame:
+        """Remove every row of the nodes and of the relationships at them; the receipt (`admin.erasure`). Later backups carry the removal."""
+        nodes, rels, receipt = admin.erasure(self.node_versions, self.rel_versions, ids)
+        receipt = checkpointed(receipt)
+        self._trim("rel", rels)
+        self._trim("node", nodes)
+        return receipt
+
     def write(self, op, changes_: DataFrame, tx: int | None = None, kind: str = "node", **more) -> None:
         """Apply one of the writes of `operators.writes` to a table at the next (or the given) transaction instant."""
         name = f"{kind}_versions"
@@ -126,6 +182,7 @@ class Graph:
             raise PermissionError("reset is not enabled")
         self.node_versions, self.rel_versions = self.node_versions.where(F.lit(False)), self.rel_versions.where(F.lit(False))
         self.tags.clear()
+        self.stubs, self.removed, self.watermark = {}, {}, {"node": 0, "rel": 0}
         self.indexes = Indexes()
 
     @classmethod

@@ -35,6 +35,7 @@ class Entities:
         return V.equals(self.prop(key), value, self.graph.indexes.has_elements(self.kind, name, key))
 
     def _resolve(self, opts: QueryOpts, predicate: Column | None = None) -> DataFrame:
+        self.graph.answerable(self.kind, opts.tx_pin or opts.tx_at)
         return page(resolve(self.versions, opts, self.graph.now, predicate, self.graph.has_voids), opts)
 
     def _ids(self, ids: list[int]) -> DataFrame:

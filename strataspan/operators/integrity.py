@@ -9,10 +9,10 @@ from strataspan.functions import values as V
 
 
 def canonical(kind: str) -> Column:
-    """The text that is hashed: version, times, what the entity is, and its properties by key with their stored kinds."""
+    """The text that is hashed: id, version, what the entity is (labels sorted), and its properties by key with their stored kinds; no times."""
     props = F.array_join(F.transform(F.array_sort(F.map_keys(F.coalesce("props", F.create_map().cast(V.PROPS)))), lambda k: F.concat_ws("=", k, F.coalesce(V.idxkey(F.col("props")[k]), F.to_json(F.col("props")[k])))), "&")
-    who = [F.array_join("labels", ",")] if kind == "node" else [F.col("type"), F.col("start_id").cast("string"), F.col("end_id").cast("string")]
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in ("id", "version", "s", "tx_from")], *who, F.col("void").cast("string"), F.coalesce(props, F.lit("")))
+    who = [F.array_join(F.array_sort("labels"), ",")] if kind == "node" else [F.col("type"), F.col("start_id").cast("string"), F.col("end_id").cast("string")]
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in ("id", "version")], *who, F.coalesce(props, F.lit("")))
 
 
 def content_hash(kind: str) -> Column:

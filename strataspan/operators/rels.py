@@ -21,6 +21,7 @@ class Rels(Entities):
         """The relationships at each seed (`seed`), as declared, with the node at the other end (`other`)."""
         near, far = self._side(incoming)
         predicate = None if type_name is None else self.member(type_name)
+        self.graph.answerable("rel", opts.tx_pin or opts.tx_at)
         rows = resolve(self.versions, opts, self.graph.now, predicate, self.graph.has_voids)
         return rows.join(seeds.select(F.col("id").alias("seed")).distinct(), rows[near] == F.col("seed")).withColumn("other", F.col(far))
 
@@ -67,6 +68,8 @@ class Rels(Entities):
         return rels
 
     def effective_at(self, t: int, pin: int = 0) -> DataFrame:
+        self.graph.answerable("rel", pin)
+        self.graph.answerable("node", pin)
         return self.masked(K.at(self.versions, t, pin), t, pin)
 
     def two_hop(self, seeds: DataFrame, type_name: str) -> DataFrame:

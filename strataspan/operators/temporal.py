@@ -28,7 +28,9 @@ class Temporal:
     def __init__(self, graph) -> None:
         self.graph = graph
 
-    def _v(self, kind: str) -> DataFrame:
+    def _v(self, kind: str, pin: int = 0, ids: list[int] | None = None) -> DataFrame:
+        """The version table, for a read at a pin of the ids (None: any); refused where the pin can't be answered any more."""
+        self.graph.answerable(kind, pin, ids)
         return self.graph.node_versions if kind == "node" else self.graph.rel_versions
 
     def _end(self, a: int, b: int) -> int:
@@ -38,20 +40,20 @@ class Temporal:
 
     def at(self, t: int, pin: int = 0, kind: str = "node") -> DataFrame:
         """As declared: a relationship counts whether or not its ends are valid."""
-        return K.at(self._v(kind), t, pin)
+        return K.at(self._v(kind, pin), t, pin)
 
     def at_by_ids(self, ids: list[int], t: int, pin: int = 0, kind: str = "node") -> DataFrame:
         """A row an id, in the list's order, null where there is nothing."""
         entities = self.graph.nodes if kind == "node" else self.graph.rels
         wanted = entities._ids(ids)
-        rows = K.at(self._v(kind).join(wanted.select("id").distinct(), "id", "left_semi"), t, pin)
+        rows = K.at(self._v(kind, pin, ids).join(wanted.select("id").distinct(), "id", "left_semi"), t, pin)
         return wanted.join(rows, "id", "left").orderBy("pos")
 
     def as_of(self, pin: int, kind: str = "node") -> DataFrame:
-        return K.as_of(self._v(kind), pin)
+        return K.as_of(self._v(kind, pin), pin)
 
     def during(self, a: int, b: int, pin: int = 0, predicate: Column | None = None, kind: str = "node") -> DataFrame:
-        return K.during(self._v(kind), a, self._end(a, b), pin, predicate, self.graph.has_voids)
+        return K.during(self._v(kind, pin), a, self._end(a, b), pin, predicate, self.graph.has_voids)
 
     def relating(self, a: int, b: int, relations: set[str], kind: str = "node") -> DataFrame:
         if not a or b and a >= b:
@@ -71,19 +73,25 @@ class Temporal:
 
     def effective(self, pin: int = 0, kind: str = "node", names: list[str] | None = None) -> DataFrame:
         """Segments (from, to, row); with names, those whose row carries one of the labels or types."""
-        out = K.segments(self._v(kind), pin)
+        out = K.segments(self._v(kind, pin), pin)
         if names is None:
             return out
         return out.where(F.arrays_overlap("labels", F.array(*map(F.lit, names))) if kind == "node" else F.col("type").isin(*names))
 
     def timeline(self, id_: int, pin: int = 0, kind: str = "node", valid_from: int | None = None) -> DataFrame:
-        segs = K.segments(self._v(kind).where(F.col("id") == id_), pin)
+        segs = K.segments(self._v(kind, pin, [id_]).where(F.col("id") == id_), pin)
         return (segs if valid_from is None else segs.where(F.col("to") >= valid_from)).orderBy("from")
 
+    def timelines_by_ids(self, ids: list[int], pin: int = 0, kind: str = "node") -> DataFrame:
+        """The segments of each id of the list with its `pos`; an id without any has one row of nulls. The list chooses whole chains first."""
+        entities = self.graph.nodes if kind == "node" else self.graph.rels
+        wanted = entities._ids(ids)
+        segs = K.segments(self._v(kind, pin, ids).join(wanted.select("id").distinct(), "id", "left_semi"), pin)
+        return wanted.join(segs, "id", "left").orderBy("pos", "from")
+
     def timelines(self, id_: int, pins: list[int], kind: str = "node") -> DataFrame:
         """The timeline at each of the caller's pins, aligned by `pin_pos`."""
-        v = self._v(kind).where(F.col("id") == id_)
-        out = [K.segments(v, p).withColumn("pin_pos", F.lit(i)) for i, p in enumerate(pins)]
+        out = [K.segments(self._v(kind, p, [id_]).where(F.col("id") == id_), p).withColumn("pin_pos", F.lit(i)) for i, p in enumerate(pins)]
         first, *rest = out
         for d in rest:
             first = first.unionByName(d)
@@ -100,7 +108,7 @@ class Temporal:
     def rels_effective_at_nodes(self, ids: list[int], direction: str = "both", types: list[str] | None = None, pin: int = 0, window: list[tuple[int, int]] | None = None) -> DataFrame:
         """Relationship segments at seed nodes; the seeds choose whole chains before anything is resolved."""
         ends = {"out": ["start_id"], "in": ["end_id"], "both": ["start_id", "end_id"]}[direction]
-        v, seeds = self._v("rel"), self.graph.rels._ids(ids).select("id").distinct()
+        v, seeds = self._v("rel", pin), self.graph.rels._ids(ids).select("id").distinct()
         v = v if types is None else v.where(F.col("type").isin(*types))
         hit = v.where(F.lit(False)).select("id")
         for end in ends:
@@ -111,7 +119,7 @@ class Temporal:
     def effective_page(self, pin: int, name: str, key: str, value: Any, after: int | None, limit: int, window: tuple[int, int] | None = None, kind: str = "node") -> tuple[DataFrame, int | None]:
         """(segments with the value, of the next `limit` ids; the id to go on after, None at the end)."""
         entities = self.graph.nodes if kind == "node" else self.graph.rels
-        segs = K.segments(self._v(kind), pin).where(entities.member(name) & entities.equals(name, key, value))
+        segs = K.segments(self._v(kind, pin), pin).where(entities.member(name) & entities.equals(name, key, value))
         segs = segs if window is None else segs.where(K.meets(window[0], window[1], "from", "to"))
         ids = segs.select("id").distinct()
         ids = ids if after is None else ids.where(F.col("id") > after)
@@ -127,7 +135,7 @@ class Temporal:
 
         ids = self.graph.nodes.by_properties(name, values, QueryOpts(after=after, limit=limit)).select("id")
         last = ids.agg(F.max("id"), F.count(F.lit(1))).first()
-        segs = K.segments(self._v("node").join(ids, "id", "left_semi"), pin)
+        segs = K.segments(self._v("node", pin).join(ids, "id", "left_semi"), pin)
         return ids.join(segs, "id", "left"), last[0] if last[1] == limit else None
 
     def tuple_timelines(self, type_name: str, keys: list[str], tuples: list[tuple], pin: int = 0) -> DataFrame:

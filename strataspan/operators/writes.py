@@ -149,12 +149,12 @@ def cascade(rels: DataFrame, node_ids: DataFrame, tx: int, retract: bool = False
     return delete(rels, at("start_id").union(at("end_id")).distinct(), tx, retract)
 
 
-def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> DataFrame:
+def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False, fill: bool = True) -> DataFrame:
     """Append-only correction of [valid_from, valid_to) of entities; changes: id, valid_from, valid_to, patch (not for void).
 
     The interval is cut where its winner changes; each piece repeats its winner with the patch (void: marks absence, without
-    properties), gaps take the chain's most recent version as template, and neighbouring pieces of one base are one. Where the end is
-    closed a row repeats the winner at the end up to the next bound. Older rows stay as they are; of the new and the current rows the
+    properties), gaps take the chain's most recent version as template (fill False: they stay gaps), and neighbouring pieces of one base
+    are one. Where the end is closed a row repeats the winner at the end up to the next bound. Older rows stay as they are; of the new and the current rows the
     newest that is open takes the current slot, numbered highest.
     """
     if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
@@ -182,7 +182,8 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False) -> Da
         covered = held.where(~F.col("row")["void"]).select("id").distinct()
         if not wide.join(covered, "id", "left_anti").isEmpty():
             raise NothingToExcise("nothing holds in the interval")
-        pieces = pieces.where(~F.col("gap"))
+    if void or not fill:
+        pieces = pieces.where(~F.col("gap") & ~(F.lit(not void) & F.col("row")["void"]))
     same = (F.lag(F.col("row")["version"]).over(order) == F.col("row")["version"]) & (F.lag("to").over(order) == F.col("from"))
     runs = pieces.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(order))
     merged = runs.groupBy("id", "_run").agg(F.min("from").alias("s"), F.max("to").alias("e"), F.first("row").alias("row"), F.first(F.struct(*wide.columns[1:])).alias("w"))
@@ -217,6 +218,14 @@ def excise(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
     return correct(v, changes.select("id", "valid_from", "valid_to"), tx, void=True)
 
 
+def update_everywhere(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
+    """changes: id, patch. An update that claims no valid time: every segment of the entity takes the patch and keeps its bounds; where
+    nothing held, nothing holds."""
+    _checked(v, changes)
+    whole = changes.select("id", "patch", F.lit(V.NEG).cast("bigint").alias("valid_from"), F.lit(V.INF).cast("bigint").alias("valid_to"))
+    return correct(v, whole, tx, fill=False)
+
+
 def check_clock(last: int, tx: int) -> None:
     if tx <= last:
         raise GraphError(f"transaction instant {tx} is not after {last}")

@@ -769,11 +769,31 @@ def truncate_instants(spark, sf_dir):
     return ev.select("event_id", *[C.truncate(t, u).alias(f"{u}_floor") for u in ("hour", "day", "week", "month", "quarter", "year")], C.ceil(t, "month").alias("month_ceil"))
 
 
-@query("SELECT epoch_ms(d) + 32400000 AS start, epoch_ms(d) + 36000000 AS \"end\" FROM (SELECT unnest(generate_series(TIMESTAMP '2026-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) IN (1, 3) AND (epoch_ms(date_trunc('week', d)) - epoch_ms(date_trunc('week', TIMESTAMP '2026-01-01'))) // 604800000 % 2 = 0")
+def _recurrence_sql(days: str, a: int, b: int, start: int, end: int) -> str:
+    """Each day of [a, b] that `days` (of d) chooses, clipped to [a, b)."""
+    every = f"SELECT unnest(generate_series(date_trunc('day', make_timestamp({a}000)), make_timestamp({b}000), INTERVAL 1 DAY)) AS d"
+    return f'SELECT * FROM (SELECT greatest(epoch_ms(d) + {start}, {a}) AS start, least(epoch_ms(d) + {end}, {b}) AS "end" FROM ({every}) WHERE {days}) WHERE start < "end"'
+
+
+# half past nine of the first day: the occurrence that has begun counts from there
+_SPAN = (C.EPOCH_2026 + 9 * 3_600_000 + 1_800_000, C.EPOCH_2026 + 700 * 86_400_000 + 10 * 3_600_000)
+
+
+@query(_recurrence_sql("isodow(d) IN (1, 3, 4)", *_SPAN, 9 * 3_600_000, 17 * 3_600_000))
 def recurrence_expand(spark, sf_dir):
-    """Every other week, Mondays and Wednesdays at nine, over 2026."""
-    first = C.EPOCH_2026
-    return C.expand(spark, C.Recurrence("weekly", first, first + 365 * 86_400_000 - 1, 9 * 3_600_000, every=2, weekdays=(0, 2)))
+    """Mondays, Wednesdays and Thursdays from nine to five."""
+    return C.expand(spark, C.Recurrence("weekly", 9 * 3_600_000, 17 * 3_600_000, weekdays=(0, 2, 3)), *_SPAN)
+
+
+@query(_recurrence_sql("d = last_day(d)", *_SPAN, 0, 86_400_000))
+def recurrence_monthly(spark, sf_dir):
+    """The last day of each month."""
+    return C.expand(spark, C.Recurrence("monthly", month_day=0), *_SPAN)
+
+
+@query(_recurrence_sql("month(d) = 2 AND day(d) = 28", *_SPAN, 3_600_000, 7_200_000))
+def recurrence_yearly(spark, sf_dir):
+    return C.expand(spark, C.Recurrence("yearly", 3_600_000, 7_200_000, month=2, month_day=28), *_SPAN)
 
 
 @query("SELECT event_id, event_id * 1234567891 + 99 AS id, ((event_id * 1234567891 + 99) >> 15) // 1000 + 1767225600000 AS created_at, CAST(((event_id * 1234567891 + 99) >> 10) & 31 AS INTEGER) AS node, CAST((event_id * 1234567891 + 99) & 1023 AS INTEGER) AS sequence FROM events")
@@ -813,14 +833,23 @@ def dry_run_validate(spark, sf_dir):
 
 @query(f"WITH {chain_sql()} SELECT id, id % 5 <> 0 AS valid FROM v GROUP BY id")
 def verify_chain(spark, sf_dir):
-    """Chains of ids divisible by 5 are tampered with after hashing."""
+    """Labels of chains with ids divisible by 5 are tampered with after hashing; other times are no content and change nothing."""
     g, _ = _chain(spark, sf_dir)
-    v = integrity.with_hashes(g.node_versions)
-    return integrity.verify_chains(v.withColumn("s", F.when((F.col("id") % 5 == 0) & (F.col("version") == 0), F.col("s") + 1).otherwise(F.col("s"))))
+    v = integrity.with_hashes(g.node_versions).withColumn("s", F.col("s") + 1)
+    return integrity.verify_chains(v.withColumn("labels", F.when((F.col("id") % 5 == 0) & (F.col("version") == 0), F.array(F.lit("Other"))).otherwise(F.col("labels"))))
 
 
 # writes
 
+
+@query(f"WITH {chain_sql('d')}, {eff_sql(HI)} SELECT id, f AS valid_from, u AS valid_to, 7 AS k FROM eff JOIN v USING (id, version) WHERE NOT v.void")
+def update_everywhere(spark, sf_dir):
+    """An update without a valid time of every chain: all segments take the value, and keep their bounds; voids stay."""
+    g, _ = _chain(spark, sf_dir, "d")
+    g.write(writes.update_everywhere, g.node_versions.where("is_current").select("id", V.props(k=V.integer(F.lit(7))).alias("patch")))
+    return g.temporal.effective().select("id", F.col("from").alias("valid_from"), F.col("to").alias("valid_to"), F.col("props")["k"]["l"].alias("k"))
+
+
 # a correction of [a, b) over single open segments, and what the timeline must be afterwards
 _ONE = "one AS (SELECT 6000000000000 + o_orderkey AS id, epoch_ms(o_orderdate) AS d FROM orders)"
 

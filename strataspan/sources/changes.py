@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataspan.operators.index import Indexes
 from strataspan.sources.fixtures import numbered
 
 # Tags of change records.
@@ -79,7 +80,24 @@ def export(graph, path: str) -> None:
     """Both tables and a manifest. Rows are laid out by id, so readers prune by it."""
     graph.node_versions.repartitionByRange("id").sortWithinPartitions("id", "version").write.mode("overwrite").parquet(f"{path}/nodes")
     graph.rel_versions.repartitionByRange("id").sortWithinPartitions("id", "version").write.mode("overwrite").parquet(f"{path}/rels")
-    Folder(graph.spark, path).write_text("manifest", json.dumps({"now": graph.now, "tags": graph.tags, "voids": graph.has_voids}))
+    for kind, stubs in graph.stubs.items():
+        stubs.write.mode("overwrite").parquet(f"{path}/stubs-{kind}")
+    more = {"indexes": declared(graph.indexes), "watermark": graph.watermark, "stubs": sorted(graph.stubs), "applied_lsn": graph.applied_lsn}
+    Folder(graph.spark, path).write_text("manifest", json.dumps({"now": graph.now, "tags": graph.tags, "voids": graph.has_voids, **more}))
+
+
+def declared(x: Indexes) -> dict:
+    """The declarations as JSON values; providers are code and stay behind."""
+    pairs = lambda d: [[list(k) if isinstance(k, tuple) else k, v] for k, v in sorted(d.items())]
+    return {"properties": pairs(x.properties), "composites": x.composites, "temporal": sorted(map(list, x.temporal)), "vectors": pairs(x.vectors), "frequent": x.frequent, "epoch": x.epoch}
+
+
+def declare(d: dict) -> Indexes:
+    tuples = lambda pairs: {tuple(k): v for k, v in pairs}
+    return Indexes(
+        properties=tuples(d["properties"]), composites={k: [tuple(c) for c in v] for k, v in d["composites"].items()},
+        temporal={tuple(t) for t in d["temporal"]}, vectors=tuples(d["vectors"]), frequent=d["frequent"], epoch=d["epoch"],
+    )
 
 
 def load(spark: SparkSession, path: str):
@@ -88,6 +106,8 @@ def load(spark: SparkSession, path: str):
     m = json.loads(Folder(spark, path).read_text("manifest"))
     g = Graph(spark, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/rels"), now=m["now"], has_voids=m["voids"])
     g.tags.update(m["tags"])
+    g.indexes, g.watermark, g.applied_lsn = declare(m["indexes"]), m["watermark"], m["applied_lsn"]
+    g.stubs = {kind: spark.read.parquet(f"{path}/stubs-{kind}") for kind in m["stubs"]}
     return g
 
 
@@ -103,11 +123,19 @@ _BACKUP = re.compile(r"backup-(\d+)-(?:full|delta-(\d+))$")
 
 
 def backup(graph, folder: str, since: int | None = None) -> int:
-    """Write a full backup, or the delta after the transaction instant `since`; returns the instant it reaches."""
+    """Write a full backup, or the delta after the transaction instant `since`; returns the instant it reaches. A delta carries which rows
+    were removed for good (erasure, retention, compaction), so that they do not come back, but not what was updated in place."""
     name = f"backup-{graph.now}-" + ("full" if since is None else f"delta-{since}")
     pick = (lambda v: v) if since is None else (lambda v: delta_since(v, since))
     pick(graph.node_versions).write.parquet(f"{folder}/{name}/nodes")
     pick(graph.rel_versions).write.parquet(f"{folder}/{name}/rels")
+    if since is not None:
+        for kind, gone in graph.removed.items():
+            gone.where(F.col("at") >= since).write.parquet(f"{folder}/{name}/removed-{kind}")
+    state = {"tags": graph.tags, "voids": graph.has_voids, "indexes": declared(graph.indexes), "watermark": graph.watermark, "stubs": sorted(graph.stubs)}
+    for kind, stubs in graph.stubs.items():
+        stubs.write.parquet(f"{folder}/{name}/stubs-{kind}")
+    Folder(graph.spark, f"{folder}/{name}").write_text("manifest", json.dumps(state))
     return graph.now
 
 
@@ -127,13 +155,29 @@ def backup_chain(spark: SparkSession, folder: str) -> list[str]:
     return chain
 
 
+def without_removed(v: DataFrame, gone: DataFrame) -> DataFrame:
+    """v without the rows that were recorded before a removal, up to the highest version that it took; a chain that began anew stays."""
+    latest = gone.groupBy("id").agg(F.max("at").alias("_at"), F.max("up_to").alias("_up_to"))
+    hit = (F.col("version") <= F.col("_up_to")) & (F.col("tx_from") <= F.col("_at"))
+    return v.join(latest, "id", "left").where(F.col("_at").isNull() | ~hit).select(*v.columns)
+
+
 def restore(spark: SparkSession, folder: str):
+    """The graph of the newest backup chain, with its tags, declarations and lowest pins."""
     from strataspan.graph import Graph
 
     first, *rest = backup_chain(spark, folder)
-    nodes, rels = (spark.read.parquet(f"{folder}/{first}/{t}") for t in ("nodes", "rels"))
+    tables = {kind: spark.read.parquet(f"{folder}/{first}/{kind}s") for kind in ("node", "rel")}
     for name in rest:
-        nodes = merge(nodes, spark.read.schema(nodes.schema).parquet(f"{folder}/{name}/nodes"))
-        rels = merge(rels, spark.read.schema(rels.schema).parquet(f"{folder}/{name}/rels"))
-    at = int(_BACKUP.match((rest or [first])[-1])[1])
-    return Graph(spark, nodes, rels, now=at)
+        held = Folder(spark, f"{folder}/{name}").names()
+        for kind, v in tables.items():
+            if f"removed-{kind}" in held:
+                v = without_removed(v, spark.read.parquet(f"{folder}/{name}/removed-{kind}"))
+            tables[kind] = merge(v, spark.read.schema(v.schema).parquet(f"{folder}/{name}/{kind}s"))
+    last = (rest or [first])[-1]
+    m = json.loads(Folder(spark, f"{folder}/{last}").read_text("manifest"))
+    g = Graph(spark, tables["node"], tables["rel"], now=int(_BACKUP.match(last)[1]), has_voids=m["voids"])
+    g.tags.update(m["tags"])
+    g.indexes, g.watermark = declare(m["indexes"]), m["watermark"]
+    g.stubs = {kind: spark.read.parquet(f"{folder}/{last}/stubs-{kind}") for kind in m["stubs"]}
+    return g

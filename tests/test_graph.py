@@ -12,7 +12,7 @@ from strataspan.operators import admin, integrity, sessions, writes
 from strataspan.plans import kernels as K
 from strataspan.plans.opts import QueryOpts
 from strataspan.sources import changes, fixtures
-from strataspan.streaming import watch
+from strataspan.streaming import replica, watch
 
 
 def people(spark, n=5):
@@ -159,6 +159,79 @@ def test_export_and_backups(graph, spark, tmp_path):
     assert graph.nodes.count() == 3
 
 
+def test_removed_rows_stay_removed(graph, spark, tmp_path):
+    graph.temporal.tag("t", 1500)
+    graph.indexes.create_property("node", "Person", "age", elements=True)
+    graph.indexes.create_composite("Person", ["name", "age"])
+    a = changes.backup(graph, f"{tmp_path}/b")
+    receipt = {r["kind"]: (r["rows"], r["entities"]) for r in graph.erase(ids(spark, 2)).collect()}
+    assert receipt == {"node": (1, 1), "rel": (2, 2)}
+    graph.write(writes.add, people(spark).where("id = 2").select("id", "labels", "props"))
+    graph.write(writes.update, ids(spark, 3).withColumn("patch", V.props(age=V.integer(F.lit(1)))))
+    changes.backup(graph, f"{tmp_path}/b", since=a)
+    back = changes.restore(spark, f"{tmp_path}/b")
+    pick = ["id", "version", "is_current", "tx_from", "tx_to"]
+    assert sorted(back.node_versions.select(pick).collect()) == sorted(graph.node_versions.select(pick).collect())
+    assert [r["id"] for r in back.rel_versions.collect()] == [13]
+    assert back.tags == {"t": 1500} and back.indexes == graph.indexes
+
+
+def test_pins_below_what_was_trimmed(graph, spark, tmp_path):
+    for age in (1, 2, 3):
+        graph.write(writes.update, ids(spark, 2).withColumn("patch", V.props(age=V.integer(F.lit(age)))))
+    graph.compact(1, V.INF)
+    low = admin.lowest_answered_pins(ids(spark, 1, 2), graph.stubs["node"]).collect()
+    pins = {r["id"]: r["low_pin"] for r in low}
+    assert pins[1] == 0 and pins[2] == graph.watermark["node"] > 1500
+    changes.export(graph, f"{tmp_path}/x")
+    for g in (graph, changes.load(spark, f"{tmp_path}/x")):
+        for read in (lambda: g.temporal.at(500, 1500), lambda: g.temporal.as_of(1500), lambda: g.temporal.effective(1500), lambda: g.temporal.timeline(2, 1500), lambda: g.nodes.all(QueryOpts(tx_pin=1500)), lambda: g.rels.effective_at(500, 1500)):
+            with pytest.raises(errors.PinTooOld):
+                read()
+        assert g.temporal.timeline(1, 1500).count() == 1 and g.temporal.timelines_by_ids([1, 9], 1500).count() == 2
+        assert g.temporal.at(g.now, pins[2]).count() == 5 and g.temporal.at(g.now).count() == 5
+
+
+def test_purged_pins(graph, spark):
+    graph.write(writes.delete, ids(spark, 3))
+    graph.purge_expired("Person", graph.now + 1)
+    assert {r["id"] for r in graph.node_versions.collect()} == {1, 2, 4, 5} and [r["id"] for r in graph.rel_versions.collect()] == [11]
+    with pytest.raises(errors.PinTooOld):
+        graph.temporal.at(500, 1500)
+
+
+def test_update_everywhere(graph, spark):
+    span = ids(spark, 1).select("id", F.lit(300).cast("long").alias("valid_from"), F.lit(400).cast("long").alias("valid_to"))
+    graph.write(writes.correct, span.withColumn("patch", V.props(name=V.text(F.lit("x")))))
+    graph.write(writes.excise, span.withColumns({"valid_from": F.lit(350).cast("long"), "valid_to": F.lit(500).cast("long")}))
+    graph.write(writes.update_everywhere, ids(spark, 1).withColumn("patch", V.props(age=V.integer(F.lit(7)))))
+    line = [(r["from"], r["to"], r["props"]["name"]["s"], r["props"]["age"]["l"]) for r in graph.temporal.timeline(1).collect()]
+    assert line == [(100, 300, "p1", 7), (300, 350, "x", 7), (500, V.INF, "p1", 7)]
+    with pytest.raises(errors.NotFound):
+        graph.write(writes.update_everywhere, ids(spark, 99).withColumn("patch", V.props(age=V.integer(F.lit(7)))))
+
+
+def test_replica(graph, spark):
+    copy = Graph(spark, graph.node_versions, graph.rel_versions, now=2000, has_voids=False)
+    before = graph.now
+    graph.write(writes.update, ids(spark, 2).withColumn("patch", V.props(age=V.integer(F.lit(9)))))
+    changed = changes.delta_since(graph.node_versions, before).orderBy("version")
+    records = changed.withColumn("lsn", F.col("version") + 5)
+    r = replica.Replica(copy)
+    assert r.apply(records) == 6 and r.apply(records.withColumn("props", F.lit(None).cast(V.PROPS))) == 6
+    assert r.apply(rels=graph.rel_versions.limit(0).withColumn("lsn", F.lit(9))) == 6
+    assert copy.nodes.get(2)["props"]["age"]["l"] == 9 and copy.node_versions.count() == 6 and copy.now == graph.now
+    with pytest.raises(ValueError):
+        r.applied = 3
+
+
+def test_hashes_hold_no_times(graph, spark):
+    one = lambda v: {r["id"]: r["hash"] for r in integrity.with_hashes(v).collect()}
+    v = graph.node_versions
+    assert one(v) == one(v.withColumns({"s": F.col("s") + 1, "tx_from": F.col("tx_from") + 1}))
+    assert one(v) != one(v.withColumn("labels", F.array(F.lit("A"))))
+
+
 def test_backup_gap_is_refused(graph, spark, tmp_path):
     changes.backup(graph, f"{tmp_path}")
     graph.write(writes.delete, ids(spark, 1))
@@ -232,11 +305,21 @@ def test_calendar(spark):
     assert one(C.truncate(F.lit(V.INF), "year")) == V.INF
     assert one(C.ceil(F.lit(1), "hour")) == 3_600_000 and one(C.ceil(F.lit(3_600_000), "hour")) == 3_600_000
     assert one(C.round_half_up(F.lit(1_800_000), "hour")) == 3_600_000 and one(C.round_half_up(F.lit(1_799_999), "hour")) == 0
-    last = C.expand(spark, C.Recurrence("monthly", C.EPOCH_2026, C.EPOCH_2026 + 365 * 86_400_000, month_day=-1)).count()
-    assert last == 12
-    assert C.expand(spark, C.Recurrence("monthly", C.EPOCH_2026, C.EPOCH_2026 + 365 * 86_400_000 - 1, month_day=31)).count() == 7
-    with pytest.raises(ValueError):
-        C.Recurrence("weekly", 0, 1).validate()
+
+
+def test_recurrence(spark):
+    a, day = C.EPOCH_2026, 86_400_000
+    assert C.expand(spark, C.Recurrence("monthly", month_day=0), a, a + 365 * day).count() == 12
+    # a daily pattern has a mask, too; what has begun before is clipped, and nothing is empty
+    got = C.expand(spark, C.Recurrence("daily", 0, 7_200_000, weekdays=(3, 4)), a + 3_600_000, a + 8 * day).orderBy("start").collect()
+    assert [((r["start"] - a) // day, r["end"] - r["start"]) for r in got] == [(0, 3_600_000), (1, 7_200_000), (7, 7_200_000)]
+    for bad in (C.Recurrence("weekly"), C.Recurrence("monthly", month_day=29), C.Recurrence("daily", 5, 5, weekdays=(0,)), C.Recurrence("yearly", month=13)):
+        with pytest.raises(ValueError):
+            bad.validate()
+    with pytest.raises(errors.InvalidTimeRange):
+        C.expand(spark, C.Recurrence("monthly"), a, a)
+    with pytest.raises(errors.InvalidTimeRange):
+        C.expand(spark, C.Recurrence("monthly"), 0, C.MAX_SPAN + 1)
 
 
 def test_plan_shuffles_once(spark, sf, tmp_path):
