@@ -133,7 +133,7 @@ class Graph:
         except Exception:
             self._now, self.epoch = before  # a refused write leaves the clock as it was
             raise
-        if op is writes.excise:
+        if op in (writes.excise, writes.update_everywhere):
             self.has_voids = True
         setattr(self, name, after)
         if rels is not None:

@@ -153,8 +153,8 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False, fill:
     """Append-only correction of [valid_from, valid_to) of entities; changes: id, valid_from, valid_to, patch (not for void).
 
     The interval is cut where its winner changes; each piece repeats its winner with the patch (void: marks absence, without
-    properties), gaps take the chain's most recent version as template (fill False: they stay gaps), and neighbouring pieces of one base
-    are one. Where the end is closed a row repeats the winner at the end up to the next bound. Older rows stay as they are; of the new and the current rows the
+    properties), gaps take the chain's most recent version as template (fill False: they stay gaps, and ended lives ended), and neighbouring
+    pieces of one base are one. Where the end is closed a row repeats the winner at the end up to the next bound. Older rows stay as they are; of the new and the current rows the
     newest that is open takes the current slot, numbered highest.
     """
     if not changes.where(F.col("valid_from") >= F.col("valid_to")).isEmpty():
@@ -167,7 +167,7 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False, fill:
     # only the chains that are corrected, materialised as every step below reads them
     touched = checkpointed(v.join(wide.select("id"), "id", "left_semi"))
     # the pre-correction chain without lives' ends: deletes are taken back
-    plain = touched.withColumns({"deleted_at": F.lit(0).cast("bigint"), "retracted": F.lit(False)})
+    plain = touched.withColumns({"deleted_at": F.lit(0).cast("bigint"), "retracted": F.lit(False)}) if fill else touched
     won = checkpointed(K.segments(plain, 0, keep_void=True).join(wide, "id"))
     inside = won.where(K.meets(F.col("_a"), F.col("_b"), "from", "to")).withColumns({"from": F.greatest("from", "_a"), "to": F.least("to", "_b")})
     template = touched.groupBy("id").agg(F.max_by(F.struct(*v.columns), F.struct("version")).alias("_t")).join(wide, "id")
@@ -177,17 +177,23 @@ def correct(v: DataFrame, changes: DataFrame, tx: int, void: bool = False, fill:
     before = held.select("id", "_a", "_b", F.coalesce(F.lag("to").over(order), F.col("_a")).alias("x"), F.col("from").alias("y"))
     after = template.join(held.groupBy("id").agg(F.max("to").alias("_last")), "id", "left").select("id", "_a", "_b", F.coalesce("_last", "_a").alias("x"), F.col("_b").alias("y"))
     gaps = before.unionByName(after).where("x < y").join(template.drop("_a", "_b"), "id").select("id", F.col("x").alias("from"), F.col("y").alias("to"), F.struct(*[F.col("_t")[c].alias(c) for c in names]).alias("row"), F.lit(True).alias("gap"), *wide.columns[1:])
-    pieces = held.unionByName(gaps)
+    pieces = held.unionByName(gaps).withColumn("_void", F.lit(void))
     if void:
         covered = held.where(~F.col("row")["void"]).select("id").distinct()
         if not wide.join(covered, "id", "left_anti").isEmpty():
             raise NothingToExcise("nothing holds in the interval")
-    if void or not fill:
-        pieces = pieces.where(~F.col("gap") & ~(F.lit(not void) & F.col("row")["void"]))
-    same = (F.lag(F.col("row")["version"]).over(order) == F.col("row")["version"]) & (F.lag("to").over(order) == F.col("from"))
+        pieces = pieces.where(~F.col("gap"))
+    elif not fill:
+        # a chain that tiles ceases to with the new rows, and its own bounds would show older rows where nothing held: voids stand there
+        shape = K.classified(K.lives(plain)).groupBy("id").agg(F.max("_cascade").alias("_cascade"), F.min("s").alias("_low"), F.max("e").alias("_high"))
+        pieces = pieces.withColumn("_void", F.col("gap") | F.col("row")["void"]).join(shape, "id")
+        pieces = pieces.withColumns({"from": F.greatest("from", "_low"), "to": F.least("to", "_high")})
+        pieces = pieces.where(~F.col("_void") | (~F.col("_cascade") & (F.col("from") < F.col("to")))).drop("_cascade", "_low", "_high")
+    alike = F.struct(F.col("row")["version"], "_void")
+    same = (F.lag(alike).over(order) == alike) & (F.lag("to").over(order) == F.col("from"))
     runs = pieces.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(order))
-    merged = runs.groupBy("id", "_run").agg(F.min("from").alias("s"), F.max("to").alias("e"), F.first("row").alias("row"), F.first(F.struct(*wide.columns[1:])).alias("w"))
-    base = merged.select("id", "s", "e", F.col("row"), F.col("w")["patch"].alias("patch") if "patch" in wide.columns else F.lit(None).cast(V.PROPS).alias("patch"), F.lit(void).alias("void"))
+    merged = runs.groupBy("id", "_run").agg(F.min("from").alias("s"), F.max("to").alias("e"), F.first("row").alias("row"), F.first("_void").alias("void"), F.first(F.struct(*wide.columns[1:])).alias("w"))
+    base = merged.select("id", "s", "e", F.col("row"), F.col("w")["patch"].alias("patch") if "patch" in wide.columns else F.lit(None).cast(V.PROPS).alias("patch"), "void")
     # the winner at the end of the interval goes on to the next bound of any row
     bounds = plain.select("id", F.explode(F.array("s", "e")).alias("x")).join(wide, "id").where(F.col("x") > F.col("_b")).groupBy("id").agg(F.min("x").alias("_next"))
     at_end = won.where((F.col("_b") != V.INF) & (F.col("from") <= F.col("_b")) & (F.col("to") > F.col("_b"))).join(bounds, "id", "left")
@@ -220,7 +226,7 @@ def excise(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
 
 def update_everywhere(v: DataFrame, changes: DataFrame, tx: int) -> DataFrame:
     """changes: id, patch. An update that claims no valid time: every segment of the entity takes the patch and keeps its bounds; where
-    nothing held, nothing holds."""
+    nothing held, nothing holds (in chains that tiled, void rows see to that)."""
     _checked(v, changes)
     whole = changes.select("id", "patch", F.lit(V.NEG).cast("bigint").alias("valid_from"), F.lit(V.INF).cast("bigint").alias("valid_to"))
     return correct(v, whole, tx, fill=False)

@@ -211,6 +211,25 @@ def test_update_everywhere(graph, spark):
         graph.write(writes.update_everywhere, ids(spark, 99).withColumn("patch", V.props(age=V.integer(F.lit(7)))))
 
 
+def test_update_everywhere_keeps_gaps(graph, spark):
+    """A chain that tiles: [100, 300), a closed version until 400, then nothing, [600, 700) and nothing; and one with a retracted life."""
+    rows = [(1, 1, 300, 400, 3000, False), (1, 2, 600, 700, 4000, False), (2, 1, 300, 400, 3000, True)]
+    more = spark.createDataFrame(rows, "id long, version int, s long, e long, tx_from long, void boolean")
+    first = graph.node_versions.where("id <= 2")
+    more = more.join(first.select("id", "labels", "props"), "id").withColumns({"is_current": F.lit(False), "tx_to": F.lit(0).cast("long"), "deleted_at": F.lit(0).cast("long"), "retracted": F.lit(False), "kept": F.lit(False)})
+    g = Graph(spark, graph.node_versions.unionByName(more), now=5000, has_voids=True)
+    g.write(writes.delete, ids(spark, 3), retract=True)
+    g.write(writes.add, people(spark).where("id = 3").select("id", "labels", "props", F.lit(500).cast("long").alias("s"), F.lit(V.INF).alias("e")))
+    line = lambda: sorted((r["id"], r["from"], r["to"]) for r in g.temporal.effective().where("id <= 3").collect())
+    before, pin = line(), g.now
+    assert before == [(1, 100, 300), (1, 300, 400), (1, 600, 700), (2, 100, 300), (3, 500, V.INF)]
+    for age in (7, 8):
+        g.write(writes.update_everywhere, ids(spark, 1, 2, 3).withColumn("patch", V.props(age=V.integer(F.lit(age)))))
+        assert line() == before and {r["props"]["age"]["l"] for r in g.temporal.effective().where("id <= 3").collect()} == {age}
+    assert g.temporal.at(450).where("id <= 2").isEmpty() and g.temporal.during(450, 500).where("id <= 2").isEmpty()
+    assert sorted((r["id"], r["from"], r["to"]) for r in g.temporal.effective(pin).where("id <= 3").collect()) == before
+
+
 def test_replica(graph, spark):
     copy = Graph(spark, graph.node_versions, graph.rel_versions, now=2000, has_voids=False)
     before = graph.now
