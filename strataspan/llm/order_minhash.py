@@ -22,6 +22,8 @@ K, ELL, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
 LEADERS, PAIRS = 2, 1024
 #: Bins of a text's bag of words; texts of a bucket that a task compares with as many others at once; words of texts that it keeps split.
 BINS, BLOCK, SPLIT = 64, 512, 400_000
+#: Bins by which a task counts the words, and the pairs of neighbouring words, of texts it may have to align.
+FINE = 1 << 16
 #: Bytes that one vectorised step takes.
 STEP = 1 << 18
 _TO_BLANK = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -353,15 +355,75 @@ def _involved(least: float) -> Callable:
     return run
 
 
+def _counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words of texts, and of their pairs of neighbouring words: where each text's bins start, the bins that hold some, how many each holds, and how
+    many a text has."""
+    w, n = word_hashes(texts)
+    of = np.repeat(np.arange(len(n)), n)
+    beside = of[:-1] == of[1:]
+    out = []
+    for h, text in ((w, of), (mix(w[:-1] * np.uint64(_BASE) + w[1:])[beside], of[:-1][beside])):
+        keys, counts = np.unique(text * FINE + (h % np.uint64(FINE)).astype(np.int64), return_counts=True)
+        out.append((np.searchsorted(keys, np.arange(len(n) + 1) * FINE), keys % FINE, counts, np.bincount(text, minlength=len(n))))
+    return out
+
+
+def bounds(texts: pa.ChunkedArray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of each pair of texts (of n words each), a number of edits that it takes at least.
+
+    An edit puts one word into a text, takes one out, or both, and so at most two pairs of neighbouring words: the larger surplus of words is at most the
+    distance, that of neighbours at most twice the distance. Bins only make texts more alike. Texts are counted in parts of about SPLIT words.
+    """
+    out = np.zeros(len(left), np.int64)
+    used = np.unique(np.r_[left, right])
+    part = (np.cumsum(n[used]) - n[used]) // SPLIT
+    i, j = np.searchsorted(used, left), np.searchsorted(used, right)
+    table = np.zeros(FINE, np.int64)
+
+    def counted(x: int) -> tuple[int, list]:
+        rows = np.flatnonzero(part == x)
+        return rows[0], _counted(texts.take(pa.array(used[rows])).to_pylist())
+
+    for x in np.unique(part[i]).tolist():
+        first, ones = counted(x)
+        here = np.flatnonzero(part[i] == x)
+        for y in np.unique(part[j[here]]).tolist():
+            base, others = (first, ones) if x == y else counted(y)
+            pairs = here[part[j[here]] == y]
+            pairs = pairs[np.argsort(i[pairs], kind="stable")]
+            for some in np.split(pairs, np.flatnonzero(np.diff(i[pairs])) + 1):
+                one, other = i[some[0]] - first, j[some] - base
+                for q in (0, 1):
+                    start, bins, counts, size = ones[q]
+                    mine = bins[start[one] : start[one + 1]]
+                    table[mine] = counts[start[one] : start[one + 1]]
+                    many = size[one]
+                    start, bins, counts, size = others[q]
+                    length = start[other + 1] - start[other]
+                    ends = np.cumsum(length)
+                    at = np.repeat(start[other] - ends + length, length) + np.arange(ends[-1])
+                    sums = np.r_[0, np.cumsum(np.minimum(table[bins[at]], counts[at]))]
+                    surplus = np.maximum(size[other], many) - (sums[ends] - sums[ends - length])
+                    out[some] = np.maximum(out[some], -(-surplus // (q + 1)))
+                    table[mine] = 0
+    return out
+
+
 def _links(least: float) -> Callable:
-    """Of each group, links that connect all its texts that are connected by links in it; the likeliest are aligned first."""
+    """Of each group, the components that links between its texts connect, each with the least of those; the likeliest pairs are aligned first."""
 
     def run(batches):
         for group in _groups(batches):
-            left, right, share = candidates(group, least)
-            ids, texts = group["rep"].to_pylist(), group["text"]
-            parent = {c: c for c in group["component"].to_pylist()}
+            left, right, _ = candidates(group, least)
+            if not len(left):
+                continue
+            texts, n = group["text"], group["n"].to_numpy().astype(np.int64)
+            longer = np.maximum(n[left], n[right])
+            far = bounds(texts, n, left, right)
+            near = far <= (longer * (1 - least) + 1e-9).astype(np.int64)
+            left, right, share = left[near], right[near], far[near] / longer[near]
             of = group["component"].to_pylist()
+            parent = {c: c for c in of}
 
             def find(x, parent=parent):
                 while parent[x] != x:
@@ -369,7 +431,6 @@ def _links(least: float) -> Callable:
                 return x
 
             split, total = {}, 0
-            found = []
             for p in np.argsort(share, kind="stable").tolist():
                 i, j = int(left[p]), int(right[p])
                 x, y = find(of[i]), find(of[j])
@@ -382,8 +443,8 @@ def _links(least: float) -> Callable:
                         split[k] = words(texts[k].as_py())
                         total += len(split[k])
                 if similar(split[i], split[j], least):
-                    parent[x] = y
-                    found.append((ids[i], ids[j]))
+                    parent[max(x, y)] = min(x, y)
+            found = [(c, find(c)) for c in parent if find(c) != c]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
@@ -450,9 +511,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     rest = _cut(ready.mapInArrow(_involved(least), schema))
     with_text = rest.join(known.hint("merge"), "rep").select(*names, "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
     more = _cut(with_text.mapInArrow(_links(least), "a long, b long"))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
     labelled = nodes.select("rep", "digest", "doc_id").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", "doc_id", F.coalesce("label", "rep").alias("label"))
+    if not more.isEmpty():  # links between components: these, not their texts, are connected further
+        joined = components(more).toDF("label", "least")
+        labelled = labelled.join(joined.hint("merge"), "label", "left").select("digest", "doc_id", F.coalesce("least", "label").alias("label"))
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
     return labelled.join(first.hint("merge"), "label").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("class_digest"))
 
@@ -465,7 +527,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     2. Texts that share a sketch share a bucket. Each text is aligned with the least members of its buckets, of those with the LEADERS that share
        most sketches with it, and the links' connected components follow. Texts whose lengths or bags of words alone forbid a link are not aligned.
     3. Buckets whose members are of different components yet, linked ones included, are gathered into families by their least component. Every pair in one of
-       different components and with a common sketch is excluded by lengths and bags of words, or aligned, unless links found meanwhile connect it. Families
+       different components and with a common sketch is excluded by lengths, bags of words or counts of words and of neighbouring words, or aligned, unless links
+       found meanwhile connect it. Families
        are compared by blocks of about BLOCK members, each pair of blocks by a task; texts go only to where they have a pair that is left to align.
     4. The connected components of all links are the classes: any two texts that share a sketch and are `least` alike are in one.
 

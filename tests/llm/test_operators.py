@@ -425,6 +425,49 @@ def test_near_duplicates_of_a_star(spark, centre, monkeypatch):
     assert len(near) > 60 and {got[i] for i in near} == {got[centre]}
 
 
+def test_alike_texts_without_a_link_are_not_aligned(monkeypatch):
+    """Of 40 texts that share most words, but too few for a link, none is aligned; a chain of links still connects all texts in it with the least component."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts = [[w if rng.random() > 0.25 else f"n{rng.randint(0, 10**6)}" for w in base] for _ in range(40)]
+    chain = [base]
+    for k in range(4):
+        chain.append([*chain[-1][: 70 * k], *(f"c{k}x{i}" for i in range(50)), *chain[-1][70 * k + 50 :]])
+    texts += chain
+    n = len(texts)
+    hashes, counts = order_minhash.word_hashes([" ".join(t) for t in texts])
+    zero = [0] * n
+    table = order_minhash.pa.table({
+        "family": zero, "low": zero, "high": zero, "rep": range(n), "component": [100 + n - i for i in range(n)], "block": zero, "n": counts,
+        "brief": [[0] * order_minhash.SKETCHES] * n, "bag": [x.tobytes() for x in order_minhash.bags(hashes, counts)], "text": [" ".join(t) for t in texts],
+    })
+    asked, similar = [], order_minhash.similar
+    monkeypatch.setattr(order_minhash, "similar", lambda a, b, least: asked.append(similar(a, b, least)) or asked[-1])
+    monkeypatch.setattr(order_minhash, "SPLIT", 4000)
+    edges = [(a, b) for out in order_minhash._links(0.8)(table.to_batches()) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    left, right, _ = order_minhash.candidates(table, 0.8)
+    assert len(left) > 100 and len(asked) < 20
+    assert sorted(edges) == [(101 + i, 101) for i in range(1, 5)]
+    far = order_minhash.bounds(table["text"], np.asarray(counts), left, right)
+    real = [order_minhash.distance(texts[i], texts[j], 400) for i, j in zip(left.tolist(), right.tolist())]
+    assert (far <= real).all()
+
+
+def test_bounds_are_at_most_distances():
+    """Whatever edits, repeated words and lengths."""
+    rng = random.Random(13)
+    texts = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 60))] for _ in range(20)]
+    for t in texts[:20]:
+        other = list(t)
+        for _ in range(rng.randint(1, 12)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 1)] = [f"w{rng.randint(0, 9)}"] * rng.randint(0, 1) or other[:1]
+        texts.append(other)
+    left, right = (np.array(x) for x in zip(*[(i, j) for i in range(40) for j in range(i + 1, 40)]))
+    far = order_minhash.bounds(order_minhash.pa.chunked_array([[" ".join(t) for t in texts]]), np.array([len(t) for t in texts]), left, right)
+    assert (far <= [order_minhash.distance(texts[i], texts[j], 100) for i, j in zip(left.tolist(), right.tolist())]).all() and (far > 0).any()
+
+
 # pseudonyms
 
 
