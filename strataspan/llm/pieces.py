@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -232,6 +234,16 @@ def chunks(text: str, size: int, context: int) -> list[tuple[str, int, int, bool
     return out
 
 
+def packed(part: str) -> tuple[bytes, int]:
+    """A chunk's text as it lies on disk, and its length in bytes before."""
+    raw = part.encode()
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def unpacked(part: bytes, size: int) -> str:
+    return pa.decompress(part, size, "zstd", asbytes=True).decode().replace(" ", SPACE)
+
+
 def encode_chunked(text: str, m: Pieces, size: int = CHUNK) -> list[int]:
     """What `encode` does for one giant document, on one machine."""
     text = normal(text)
@@ -287,13 +299,25 @@ def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     return states
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Of queries made inside, the shuffle files go as soon as a query ends, not when the driver happens to collect garbage; for queries whose results are checkpointed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN) -> DataFrame:
     """The piece ids of every whole text, in chunks of about `size` characters.
 
     A document of up to `size` characters is one chunk and one call of the library. A longer one is cut anywhere; each chunk
     yields, alone, the transfer matrix between the states at its two cuts (a few pieces each); `scan` combines the matrices
     associatively, which leaves one state at each cut; and each chunk is then backtraced alone from its two states. Only matrices and states
-    meet by document, never its text. Every chunk is decoded again and compared with its stretch of text. The model file goes to the executors with the job.
+    meet by document, never its text. Chunks lie on disk compressed, at most twice at a time. Every chunk is decoded again and compared with its stretch of text. The model file goes to the executors with the job.
 
     Input doc_id (integer), text; other columns are ignored. Null or empty texts give one chunk without ids. Repeated rows are encoded
     each (`row` tells them apart); an empty table gives no rows. Returns doc_id, row, chunk (from 0), ids, whole (decoding gives the chunk's text).
@@ -317,13 +341,15 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
         m = model(path)
         for batch in batches:
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for k, (piece, left, right, first, last) in enumerate(chunks(normal(text.as_py()), max(size, 4 * m.longest), m.longest)):
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "row": row, "chunk": k, "part": piece, "left": left, "right": right, "first": first, "last": last}], schema=_PART)
+                # space marks take three bytes, so they come back only where a chunk is read
+                for k, (piece, left, right, first, last) in enumerate(chunks(" " + text.as_py(), max(size, 4 * m.longest), m.longest)):
+                    part, n = packed(piece)
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "row": row, "chunk": k, "part": part, "bytes": n, "left": left, "right": right, "first": first, "last": last}], schema=_PART)
 
     def matrix(batches):
         m = model(path)
         for batch in batches:
-            cells = [transfer(m, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True)]
+            cells = [transfer(m, unpacked(part, n), *x) for part, n, *x in zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array([[x for x, _ in c] for c in cells], pa.list_(pa.int32())), pa.array([[y for _, y in c] for c in cells], pa.list_(pa.int32()))], ["row", "chunk", "entry", "exit"]
             )
@@ -332,7 +358,8 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
         m = model(path)
         for batch in batches:
             ids, same = [], []
-            for text, left, right, x, y in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7)), strict=True):
+            for part, n, left, right, x, y in zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True):
+                text = unpacked(part, n)
                 out, a, b = backtrace(m, text, left, right, x, y)
                 ids.append(out)
                 same.append(m.decode(out) == text[a:b].replace(SPACE, " ").encode("utf-8", "replace"))
@@ -340,9 +367,10 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
 
     short = numbered.where(~giant).mapInArrow(whole, ROW)
     # Giant documents are split before anything else, and their chunks dealt out evenly.
-    parts = checkpointed(numbered.where(giant).mapInArrow(cut, "doc_id long, row long, chunk long, part string, left int, right int, first boolean, last boolean").repartition("row", "chunk"))
-    states = scan(parts.mapInArrow(matrix, _MATRIX), fan)
-    return short.unionByName(parts.join(states, ["row", "chunk"]).select("doc_id", "row", "chunk", "part", "left", "right", "x", "y").mapInArrow(trace, ROW))
+    with shuffles_go(docs.sparkSession):
+        parts = checkpointed(numbered.where(giant).mapInArrow(cut, "doc_id long, row long, chunk long, part binary, bytes int, left int, right int, first boolean, last boolean").repartition("row", "chunk"))
+        states = scan(parts.mapInArrow(matrix, _MATRIX), fan)
+    return short.unionByName(parts.join(states, ["row", "chunk"]).select("doc_id", "row", "chunk", "part", "bytes", "left", "right", "x", "y").mapInArrow(trace, ROW))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -378,7 +406,7 @@ def model(path: str) -> Pieces:
     return Pieces(path if os.path.isfile(path) else SparkFiles.get(path))
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int64()), ("part", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+_PART = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int64()), ("part", pa.binary()), ("bytes", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 
 
 def digest(encoded: DataFrame) -> DataFrame:

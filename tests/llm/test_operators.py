@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -599,6 +601,35 @@ def test_encoding_query(spark, model):
     assert pieces.digest(pieces.encode(docs(spark, rows).limit(0))).isEmpty()
 
 
+def test_chunks_take_little_disk(spark, model):
+    """The chunks lie in the checkpoint compressed, and the shuffle that dealt them out goes."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinsrhldcu") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    rows = [(i, "▁ é" + " ".join(rng.choice(words) for _ in range(30_000))) for i in range(12)]
+    raw, context = sum(len(t.encode()) for _, t in rows), spark.sparkContext
+
+    def checkpoints():
+        return sum(f.stat().st_size for f in Path(context.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+
+    def shuffles():
+        files = context._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.length())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+    pieces.checkpointed(spark.range(1))
+    kept, dealt, setting = checkpoints(), shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    coded = pieces.encode(docs(spark, rows))
+    assert checkpoints() - kept < 0.6 * raw and spark.conf.get(setting, None) == was
+    until = time.monotonic() + 20
+    while shuffles() - dealt > 0.1 * raw and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffles() - dealt < 0.1 * raw
+    got = {}
+    for r in coded.collect():
+        got.setdefault(r["doc_id"], {})[r["chunk"]] = r["ids"]
+    assert {d: [i for k in sorted(c) for i in c[k]] for d, c in got.items()} == {d: model.lib.encode(t) for d, t in rows}
+
+
 # lines
 
 
