@@ -346,9 +346,15 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
                     part, n = packed(piece)
                     yield pa.RecordBatch.from_pylist([{"doc_id": doc, "row": row, "chunk": k, "part": part, "bytes": n, "left": left, "right": right, "first": first, "last": last}], schema=_PART)
 
+    def texts(batches):
+        """Rows of about a MB of text, as a batch of compressed chunks holds several times its size, and ids still more."""
+        for batch in batches:
+            for a, b in slices(batch.column(4).to_pylist(), 1 << 20):
+                yield batch.slice(a, b - a)
+
     def matrix(batches):
         m = model(path)
-        for batch in batches:
+        for batch in texts(batches):
             cells = [transfer(m, unpacked(part, n), *x) for part, n, *x in zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array([[x for x, _ in c] for c in cells], pa.list_(pa.int32())), pa.array([[y for _, y in c] for c in cells], pa.list_(pa.int32()))], ["row", "chunk", "entry", "exit"]
@@ -356,7 +362,7 @@ def encode(docs: DataFrame, path: str = MODEL, size: int = CHUNK, fan: int = FAN
 
     def trace(batches):
         m = model(path)
-        for batch in batches:
+        for batch in texts(batches):
             ids, same = [], []
             for part, n, left, right, x, y in zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True):
                 text = unpacked(part, n)
